@@ -1,14 +1,14 @@
 """Sharding by balanced label propagation over groups of equal texts.
 
-Documents of equal text are linked. Each starts on a pseudo-random shard; then, in rounds of Spark joins, members of a
-group move towards the shard that holds most of their neighbours, as far as that shard's quota allows. Documents without
+Documents of equal text are linked. A group starts on a pseudo-random shard, and what exceeds quotas is moved on; then, in
+rounds of Spark joins, members move towards the shard that holds most of their neighbours, as far as quotas allow. Documents without
 links fill what is left, so the counts of any two shards differ by one at most (law ``rows``).
 
 The state is one row a (group, shard) with its count, so a group of any size moves as a few rows. Ranks that fix which
 member goes where are made per (group, bucket), so no task holds a whole group, shard or table.
 
-Defined results: a null text has no bytes and equals other nulls, not the empty text. Ties between shards go to the
-lower number. Repeated rows are documents of their own, which may differ in slot. Null ids are dealt like others. An
+Defined results: a null text has no bytes and equals other nulls, not the empty text. Ties between shards are broken
+by a hash. Repeated rows are documents of their own, which may differ in slot. Null ids are dealt like others. An
 empty table gives no rows. Only ``doc_id`` and ``text`` are read, so other columns cannot clash.
 """
 
@@ -36,64 +36,91 @@ def _running(partition: list[str], order: list[Column], value: str) -> Column:
     return F.coalesce(F.sum(value).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
 
 
-def _start(groups: DataFrame, shards: int) -> DataFrame:
-    """Every group dealt evenly over pseudo-random shards: ``grp, shard, n``."""
-    wide = F.least(F.lit(shards), F.col("size")).cast("int")
-    spots = F.transform(F.sequence(F.lit(0), wide - 1), lambda k: F.struct(F.pmod(F.xxhash64("grp") + 0, F.lit(shards)).cast("int").alias("base"), k.alias("k")))
-    dealt = groups.withColumn("wide", wide).withColumn("s", F.explode(spots))
-    share = F.floor(F.col("size") / F.col("wide")) + (F.col("s.k") < F.col("size") % F.col("wide")).cast("long")
-    return dealt.select("grp", F.pmod(F.col("s.base") + F.col("s.k"), F.lit(shards)).cast("int").alias("shard"), share.cast("long").alias("n"))
+def _start(groups: DataFrame, quotas: list[int]) -> DataFrame:
+    """Every group on a pseudo-random shard, or on as many next to it as it needs at least: ``grp, shard, n``."""
+    shards = len(quotas)
+    wide = F.least(F.lit(shards), F.ceil(F.col("size") / max(1, min(quotas)))).cast("int")
+    base = F.pmod(F.xxhash64("grp"), F.lit(shards)).cast("int")
+    dealt = groups.withColumn("wide", wide).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
+    share = F.floor(F.col("size") / F.col("wide")) + (F.col("k") < F.col("size") % F.col("wide")).cast("long")
+    return dealt.select("grp", F.pmod(base + F.col("k"), F.lit(shards)).cast("int").alias("shard"), share.cast("long").alias("n"))
+
+
+def _load(state: DataFrame, shards: int) -> list[int]:
+    found = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    return [found.get(k, 0) for k in range(shards)]
+
+
+def grants(wanted: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the ``wanted`` moves (from, to) may be made at once, so that no shard takes in more than it has free
+    and gives away. Inflows are cut in proportion until all shards agree; they only fall, so this ends."""
+    out = dict(wanted)
+    while True:
+        into, away = [0] * len(free), [0] * len(free)
+        for (a, b), n in out.items():
+            into[b], away[a] = into[b] + n, away[a] + n
+        over = [k for k in range(len(free)) if into[k] > free[k] + away[k]]
+        if not over:
+            return out
+        for k in over:
+            for key in [key for key in out if key[1] == k]:
+                out[key] = out[key] * (free[k] + away[k]) // into[k]
 
 
 def propagate(groups: DataFrame, quotas: list[int], rounds: int = 4) -> DataFrame:
     """``grp, shard, n``: where how many members of each linked group (``grp, size``) are; no shard is above its quota.
 
-    A round: each group names the shard with most of its members. Shards admit requests, large groups first, up to what
-    members that stay leave free. Whatever isn't admitted stays and may name another shard in the next round.
+    A round: each group in several shards names the one with most of its members. The driver weighs the requests, shards
+    x shards numbers, against the quotas; large parts go first. Whatever isn't granted stays and asks again, or names
+    another shard with room, in the next round.
     """
     shards = len(quotas)
-    state = settle(_within(_start(groups, shards), quotas), "shard-state")
-    for _ in range(rounds):
-        load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        free = [quotas[k] - load.get(k, 0) for k in range(shards)]
-        # A shard without room can only be named by those that are there already.
-        worth = F.struct((_of(free, F.col("shard")) > 0).cast("int"), F.col("n"), -F.col("shard"))
-        best = state.groupBy("grp").agg(F.max(worth).alias("w"), F.count("*").alias("parts")).where("parts > 1").select("grp", (-F.col("w.col3")).alias("to"))
-        moves = state.join(best, "grp").where(F.col("shard") != F.col("to")).select("grp", "shard", "to", "n")
-        before = _running(["to"], [F.desc("n"), F.col("grp"), F.col("shard")], "n")
-        granted = F.greatest(F.lit(0), F.least(F.col("n"), _of(free, F.col("to")) - before))
-        moves = settle(moves.withColumn("granted", granted).where("granted > 0"), "shard-moves")
-        if moves.isEmpty():
-            break
-        parts = state.select("grp", "shard", "n").union(moves.select("grp", "shard", -F.col("granted"))).union(moves.select("grp", F.col("to"), F.col("granted")))
-        state = settle(parts.groupBy("grp", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "shard-state")
+    state = settle(_within(_start(groups, quotas), quotas), "shard-state")
+    for k in range(rounds):
+        free = [q - n for q, n in zip(quotas, _load(state, shards), strict=True)]
+        parts = state.withColumn("parts", F.count("*").over(Window.partitionBy("grp"))).where("parts > 1")
+        # In every other round shards without room stand back.
+        room = (_of(free, F.col("shard")) > 0).cast("int") if k % 2 else F.lit(0)
+        worth = F.struct(room.alias("room"), "n", F.xxhash64("grp", "shard").alias("h"), "shard")
+        best = parts.groupBy("grp").agg(F.max(worth).alias("w")).select("grp", F.col("w.shard").alias("to"))
+        moves = settle(parts.join(best, "grp").where(F.col("shard") != F.col("to")).select("grp", "shard", "to", "n"), "shard-moves")
+        wanted = {(r["shard"], r["to"]): r["n"] for r in moves.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
+        granted = {key: n for key, n in grants(wanted, free).items() if n}
+        if not granted:
+            continue
+        dim = F.broadcast(state.sparkSession.createDataFrame([(a, b, n) for (a, b), n in granted.items()], "shard int, to int, may long"))  # shards x shards rows
+        before = _running(["shard", "to"], [F.desc("n"), F.col("grp")], "n")
+        moved = moves.join(dim, ["shard", "to"]).withColumn("moved", F.greatest(F.lit(0), F.least(F.col("n"), F.col("may") - before))).where("moved > 0")
+        changes = state.union(moved.select("grp", "shard", -F.col("moved"))).union(moved.select("grp", "to", "moved"))
+        state = settle(changes.groupBy("grp", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "shard-state")
     return state
 
 
 def _within(state: DataFrame, quotas: list[int]) -> DataFrame:
-    """Move what exceeds a shard's quota, evenly cut, into the room that others have."""
-    load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    room = [quotas[k] - load.get(k, 0) for k in range(len(quotas))]
-    if min(room) >= 0:
+    """Groups that exceed their shard's quota leave it, whole where that is possible, for the room that others have."""
+    shards = len(quotas)
+    if all(n <= q for n, q in zip(_load(state, shards), quotas, strict=True)):
         return state
-    over = [max(0, -x) for x in room]
-    before = _running(["shard"], [F.col("grp")], "n")
-    kept = F.greatest(F.lit(0), F.least(F.col("n"), _of(quotas, F.col("shard")) - before))
-    cut = state.withColumn("kept", kept).withColumn("moved", F.col("n") - F.col("kept"))
-    # The moved ones, laid end to end by (shard, grp), meet the room laid end to end by shard.
-    starts = [sum(over[:k]) for k in range(len(over))]
-    moved = cut.where("moved > 0")
-    low = _of(starts, F.col("shard")) + _running(["shard"], [F.col("grp")], "moved")
+    order = [F.desc("n"), F.col("grp")]
+    quota, before = _of(quotas, F.col("shard")), _running(["shard"], order, "n")
+    fits = before + F.col("n") <= quota
+    part = F.when(F.col("n") > quota / 2, F.greatest(F.lit(0), quota - before)).otherwise(0)
+    kept = F.when(fits, F.col("n")).otherwise(part).cast("long")
+    cut = settle(state.withColumn("kept", kept).withColumn("moved", F.col("n") - F.col("kept")), "shard-cut")
+    stay, leave = cut.where("kept > 0").select("grp", "shard", F.col("kept").alias("n")), cut.where("moved > 0")
+    load = _load(stay, shards)
+    over = _load(leave.select("shard", F.col("moved").alias("n")), shards)
+    # Those that leave, laid end to end by shard, meet the room, laid end to end by shard.
+    low = _of([sum(over[:k]) for k in range(shards)], F.col("shard")) + _running(["shard"], order, "moved")
     gaps, at = [], 0
-    for k, x in enumerate(room):
-        if x > 0:
-            gaps.append((k, at, at + x))
-            at += x
-    fill = F.explode(F.array(*(F.struct(F.lit(k).alias("to"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for k, a, b in gaps)))
-    placed = moved.withColumn("low", low).withColumn("gap", fill)
+    for k in range(shards):
+        if (room := quotas[k] - load[k]) > 0:
+            gaps.append(F.struct(F.lit(k).alias("to"), F.lit(at).cast("long").alias("a"), F.lit(at + room).cast("long").alias("b")))
+            at += room
+    placed = leave.withColumn("low", low).withColumn("gap", F.explode(F.array(*gaps)))
     share = F.least(F.col("low") + F.col("moved"), F.col("gap.b")) - F.greatest(F.col("low"), F.col("gap.a"))
     placed = placed.withColumn("share", share).where("share > 0").select("grp", F.col("gap.to").alias("shard"), F.col("share").alias("n"))
-    return cut.where("kept > 0").select("grp", "shard", F.col("kept").alias("n")).union(placed).groupBy("grp", "shard").agg(F.sum("n").alias("n"))
+    return stay.union(placed).groupBy("grp", "shard").agg(F.sum("n").alias("n"))
 
 
 def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
@@ -111,7 +138,7 @@ def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
     buckets = max(16, total // ROWS_PER_BUCKET)
     groups = settle(slim.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1"), "shard-groups")
     state = propagate(groups, quotas)
-    load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    load = _load(state, shards)
 
     # Linked documents take their group's shares by their rank in the group.
     by_spread = [F.col("spread"), F.col("doc_id")]
@@ -132,7 +159,7 @@ def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
     single = bucketed_rank(single, ["all"], by_spread, F.col("spread"), buckets, "rank")
     ends, at = [], 0
     for k in range(shards):
-        at += quotas[k] - load.get(k, 0)
+        at += quotas[k] - load[k]
         ends.append(at)
     fill = F.size(F.filter(F.array(*(F.lit(e).cast("long") for e in ends)), lambda e: e <= F.col("rank"))).cast("int")
     single = single.withColumn("shard", fill).select("doc_id", "size", "text_crc32", "spread", "shard")

@@ -204,6 +204,8 @@ def _block(data: bytes, compression: int, predictor: int, order: str, bits: int,
 def pages(data: bytes) -> Iterator[Page]:
     """Walk the image directories; the pixels come in row order, samples in native little-endian bytes."""
     for number, (order, f) in enumerate(_directories(data)):
+        if not {WIDTH, HEIGHT} <= f.keys() or not ({TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS} <= f.keys() or {STRIP_OFFSETS, STRIP_COUNTS} <= f.keys()):
+            raise ValueError("an image directory lacks its size or its data")
         width, height, samples = f[WIDTH][0], f[HEIGHT][0], f.get(SAMPLES, (1,))[0]
         bits, compression, predictor = f.get(BITS, (1,))[0], f.get(COMPRESSION, (1,))[0], f.get(PREDICTOR, (1,))[0]
         if bits not in (8, 16, 32):
