@@ -34,6 +34,7 @@ class Settings:
     percent: int = 150
     shards: int = 64
     rows_per_block: int = 256
+    most_blocks: int = 100_000  # of a source: its blocks are put in order by one task
     seed: int = 20_240
 
 
@@ -97,7 +98,7 @@ def plan_slim(slim: DataFrame, settings: Settings) -> DataFrame:
     sizes = [r["size"] for r in sources]
     weights = [settings.weights[k % len(settings.weights)] for k in range(len(sources))]
     wanted = targets(sizes, weights, settings.percent)
-    table = [(k, r["source"], int(r["size"]), float(t), max(1, r["n"] // settings.rows_per_block)) for k, (r, t) in enumerate(zip(sources, wanted, strict=True))]
+    table = [(k, r["source"], int(r["size"]), float(t), min(settings.most_blocks, max(1, r["n"] // settings.rows_per_block))) for k, (r, t) in enumerate(zip(sources, wanted, strict=True))]
     dim = spark.createDataFrame(table, "sid int, source string, source_size long, target double, blocks long")
     known = dim.withColumnRenamed("source", "_source")
     # At most MAX_SOURCES rows of five short columns: small enough to send to all.
