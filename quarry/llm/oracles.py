@@ -65,4 +65,15 @@ def urls(rounds: int = 12, damping: float = 0.85) -> str:
     )
 
 
-ORACLES = {"op6_line_dedup": LINES, "op7_url_propagation": urls()}
+def archives() -> str:
+    """Base32 of the SHA-1: eight digits for every ten hex digits."""
+    digits = [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v{k} >> {35 - 5 * j}) & 31) + 1 AS BIGINT), 1)" for k in range(4) for j in range(8)]
+    values = ", ".join(f"CAST('0x' || substr(x, {1 + 10 * k}, 10) AS BIGINT) AS v{k}" for k in range(4))
+    return (
+        "WITH s AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x FROM (SELECT page_id, COALESCE(html, '') AS h FROM pages) p),"
+        f" f AS (SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY x, payload_bytes) AS first, {values} FROM s)"
+        f" SELECT page_id, payload_bytes, {' || '.join(digits)} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"
+    )
+
+
+ORACLES = {"op2_warc_archives": archives(), "op6_line_dedup": LINES, "op7_url_propagation": urls()}
