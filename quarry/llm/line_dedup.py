@@ -7,8 +7,8 @@ whether the earlier line itself stays.
 Every candidate line emits the hash of each variant with one word left out, and of itself. Two lines are one replacement
 apart if they share a variant with the word left out at the same place, and one addition apart if one's variant is the
 other itself. A key thus needs only its earliest line: no pairs within a key are made. The found pairs (line, earliest)
-are verified word by word. Only lines that share their first or their last words with another line emit variants, as one
-edit cannot change both ends of a line.
+are verified word by word. One edit cannot change both ends of a line, so only lines that share their first or their last
+words (almost half of them) with another emit variants, and only at places outside of a shared end.
 
 Defined results: null texts stay null and have no lines; empty texts stay. Rows that share an id are one document: lines
 at equal places of it are not earlier than each other, and null ids are one document after all others. Shorter lines
@@ -29,15 +29,15 @@ from quarry.llm.common import settle, split_words
 @dataclass(frozen=True)
 class Settings:
     min_words: int = 10
-    long_end: int = 8
+    max_words: int = 1 << 20  # ends get no longer than half of this
+    small_rows: int = 250_000  # of (id, line numbers) that may be sent to every task; more are joined by a shuffle
 
-    @property
-    def short_end(self) -> int:
-        return (self.min_words - 1) // 2
-
-    @property
-    def long_from(self) -> int:
-        return 2 * self.long_end + 1
+    def ends(self) -> list[int]:
+        """Lengths of the compared ends: a line of n words uses the largest m with 2 m + 1 <= n."""
+        out = [max(1, (self.min_words - 1) // 2)]
+        while 2 * out[-1] < self.max_words:
+            out.append(out[-1] * 3 // 2 + (out[-1] < 2))
+        return out
 
 
 #: A place is id * LINES + line number, as a decimal; null ids stand after the largest long.
@@ -50,64 +50,83 @@ def _lines(text: Column) -> Column:
 
 
 def line_table(documents: DataFrame, settings: Settings) -> DataFrame:
-    """``doc_id, line_no, place, h1, h2, n, ends`` of every line that is long enough."""
+    """``doc_id, line_no, place, h1, h2`` and the ends of every line that is long enough."""
     slim = documents.select(F.col("doc_id").cast("long"), F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
     worded = slim.withColumn("words", split_words(F.col("line"))).withColumn("n", F.size("words"))
     worded = worded.where(F.col("n") >= settings.min_words).withColumn("norm", F.array_join("words", " "))
     place = F.coalesce(F.col("doc_id").cast(PLACE), F.lit("9223372036854775808").cast(PLACE)) * LINES + F.col("line_no")
 
-    def end(words: int, tag: int) -> list[Column]:
-        return [F.xxhash64(F.lit(tag), F.substring_index("norm", " ", words)), F.xxhash64(F.lit(tag + 1), F.substring_index("norm", " ", -words))]
+    ends = settings.ends()
+    at = F.lit(ends[0])
+    before = F.lit(None).cast("int")  # a line at the lower edge of its length also has the ends of those one shorter
+    for shorter, m in zip(ends, ends[1:], strict=False):
+        at = F.when(F.col("n") >= 2 * m + 1, m).otherwise(at)
+        before = F.when(F.col("n") == 2 * m + 1, shorter).otherwise(before)
+    worded = worded.withColumns({"m": at, "m2": before})
+
+    def end(m: str, side: int) -> Column:
+        part = F.call_function("substring_index", F.col("norm"), F.lit(" "), F.col(m) * side)
+        return F.when(F.col(m).isNotNull(), F.xxhash64(F.lit(side), F.col(m), part))
+
+    keys = {"head": end("m", 1), "tail": end("m", -1), "head2": end("m2", 1), "tail2": end("m2", -1)}
+    return worded.select("doc_id", "line_no", place.cast(PLACE).alias("place"), F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), F.col("norm")).alias("h2"), "m", "m2", *(v.alias(k) for k, v in keys.items()))
 
-    short = F.when(F.col("n") <= settings.long_from, F.array(*end(settings.short_end, 0))).otherwise(F.array().cast("array<long>"))
-    long = F.when(F.col("n") >= settings.long_from, F.array(*end(settings.long_end, 2))).otherwise(F.array().cast("array<long>"))
-    ends = F.concat(short, long)
-    one = [F.get(ends, F.lit(k)).alias(f"e{k}") for k in range(4)]
-    return worded.select("doc_id", "line_no", place.cast(PLACE).alias("place"), F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), F.col("norm")).alias("h2"), "n", *one)
+
+CARRIED = ("m", "m2", "head", "tail", "head2", "tail2")
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
-    """The distinct lines that share an end with another."""
-    keys = distinct.select("first", F.explode(F.filter(F.array("e0", "e1", "e2", "e3"), lambda e: e.isNotNull())).alias("end"))
+    """``first, head, tail`` of the distinct lines that share an end with another: the length of the shortest one shared
+    at each side."""
+    ends = F.array(*(F.struct(F.col(e).alias("end"), F.lit(side).alias("side"), F.col(m).alias("m")) for e, side, m in (("head", 1, "m"), ("tail", -1, "m"), ("head2", 1, "m2"), ("tail2", -1, "m2"))))
+    keys = distinct.select("first", F.explode(F.filter(ends, lambda e: e["end"].isNotNull())).alias("e")).select("first", "e.*")
     shared = keys.groupBy("end").agg(F.count("*").alias("c")).where("c > 1").select("end")
-    return keys.join(shared, "end", "left_semi").select("first").distinct()
+    met = keys.join(shared, "end", "left_semi")
+    return met.groupBy("first").agg(F.min(F.when(F.col("side") == 1, F.col("m"))).alias("head"), F.min(F.when(F.col("side") == -1, F.col("m"))).alias("tail"))
+
+
+def _spread(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """``df``, marked to be sent to every task if its ``rows`` are few."""
+    return F.broadcast(df) if rows <= most else df
 
 
-def _words_of(documents: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``first, words`` of the candidates, taken from their earliest documents."""
+def _words_of(documents: DataFrame, candidates: DataFrame, settings: Settings) -> DataFrame:
+    """``first, head, tail, words`` of the candidates, taken from their earliest documents."""
     top = F.lit("9223372036854775808").cast(PLACE)
-    split = candidates.select("first", F.floor(F.col("first") / LINES).cast(PLACE).alias("id"), F.pmod("first", F.lit(LINES).cast(PLACE)).cast("int").alias("line_no"))
-    wanted = split.groupBy("id").agg(F.collect_list(F.struct("first", "line_no")).alias("wanted"))
+    split = candidates.select("first", "head", "tail", F.floor(F.col("first") / LINES).cast(PLACE).alias("id"), F.pmod("first", F.lit(LINES).cast(PLACE)).cast("int").alias("line_no"))
+    wanted = split.groupBy("id").agg(F.collect_list(F.struct("first", "head", "tail", "line_no")).alias("wanted"))
     slim = documents.select(F.coalesce(F.col("doc_id").cast("long").cast(PLACE), top).cast(PLACE).alias("id"), "text")
-    each = slim.join(wanted, "id").select(_lines(F.col("text")).alias("lines"), F.explode("wanted").alias("w"))
-    return each.select("w.first", split_words(F.get("lines", F.col("w.line_no"))).alias("words"))
+    each = slim.join(_spread(wanted, candidates.count(), settings.small_rows), "id").select(_lines(F.col("text")).alias("lines"), F.explode("wanted").alias("w"))
+    return each.select("w.first", "w.head", "w.tail", split_words(F.get("lines", F.col("w.line_no"))).alias("words"))
 
 
-def near_lines(documents: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_lines(documents: DataFrame, distinct: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``first``: the earliest place of every distinct line that has an earlier one at one word edit."""
-    worded = _words_of(documents, _candidates(distinct)).where(F.size("words") > 0)
+    worded = _words_of(documents, settle(_candidates(distinct), "line-candidates"), settings).where(F.size("words") > 0)
     # Of rows that share an id and a place, the lines are told apart by their hash.
     worded = settle(worded.withColumn("h1", F.xxhash64(F.array_join("words", " "))).dropDuplicates(["first", "h1"]), "line-words")
-    each = worded.select("first", "h1", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
+    each = worded.select("first", "h1", "head", "tail", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
     # A sequence's hash is the exclusive or of its (place, word) hashes; leaving out word i moves the later ones down.
-    each = each.select("first", "h1", "n", "i", F.xxhash64("i", "w").alias("here"), F.xxhash64(F.col("i") - 1, "w").alias("down"))
+    each = each.select("first", "h1", "head", "tail", "n", "i", F.xxhash64("i", "w").alias("here"), F.xxhash64(F.col("i") - 1, "w").alias("down"))
     line = Window.partitionBy("first", "h1")
     running = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     upto = each.withColumns({"a": F.bit_xor("here").over(running), "b": F.bit_xor("down").over(running), "down_all": F.bit_xor("down").over(line)})
     rest = F.col("a").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("b")).bitwiseXOR(F.col("down_all"))
-    variants = upto.select("first", "n", "i", rest.alias("v"), "a")
+    # An edit that leaves a shared end as it is stands outside of it.
+    open_ = F.coalesce(F.col("i") >= F.col("head"), F.lit(False)) | F.coalesce(F.col("i") < F.col("n") - F.col("tail"), F.lit(False))
+    variants = upto.select("first", "n", "i", rest.alias("v"), "a", open_.alias("open"))
     entries = F.array(
-        F.struct(F.col("i").alias("at"), "n", F.lit(2).alias("role"), "v"),
-        F.struct(F.lit(-1).alias("at"), (F.col("n") - 1).alias("n"), F.lit(1).alias("role"), "v"),
+        F.when(F.col("open"), F.struct(F.col("i").alias("at"), "n", F.lit(2).alias("role"), "v")),
+        F.when(F.col("open"), F.struct(F.lit(-1).alias("at"), (F.col("n") - 1).alias("n"), F.lit(1).alias("role"), "v")),
         F.when(F.col("i") == F.col("n") - 1, F.struct(F.lit(-1).alias("at"), "n", F.lit(0).alias("role"), F.col("a").alias("v"))),
     )
-    entry = variants.select("first", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select("first", "e.*")
+    entry = variants.select("first", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select("first", F.xxhash64("e.at", "e.n", "e.v").alias("key"), "e.role")
     entry = settle(entry, "line-variants")
     # The earliest that a role may meet: a line itself meets longer ones' variants, and they meet it.
-    keyed = entry.groupBy("at", "n", "v").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.min(F.when(F.col("role") != 1, F.col("first"))).alias("for1"), F.min(F.when(F.col("role") != 0, F.col("first"))).alias("for0"))
-    keyed = keyed.where("least < most").drop("least", "most")
+    keyed = entry.groupBy("key").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.min(F.when(F.col("role") != 1, F.col("first"))).alias("for1"), F.min(F.when(F.col("role") != 0, F.col("first"))).alias("for0"))
+    keyed = settle(keyed.where("least < most").drop("least", "most"), "line-keys")
     earliest = F.when(F.col("role") == 0, F.col("for0")).when(F.col("role") == 1, F.col("for1")).otherwise(F.col("for1"))
-    found = entry.join(keyed, ["at", "n", "v"]).withColumn("earliest", earliest).where("earliest < first").select("first", "earliest").distinct()
+    found = entry.join(keyed, "key").withColumn("earliest", earliest).where("earliest < first").select("first", "earliest").distinct()
     one, two = (worded.select(F.col("first").alias(k), F.col("words").alias(w)) for k, w in (("first", "x"), ("earliest", "y")))
     return found.join(one, "first").join(two, "earliest").where(within_one_edit(F.col("x"), F.col("y"))).select("first").distinct()
 
@@ -125,9 +144,9 @@ def within_one_edit(x: Column, y: Column) -> Column:
 def dropped_lines(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id, drops``: the numbers of the lines that go, of every document that has any."""
     lines = settle(line_table(documents, settings), "lines")
-    distinct = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), *(F.min(f"e{k}").alias(f"e{k}") for k in range(4)))
+    distinct = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), *(F.min(c).alias(c) for c in CARRIED))
     distinct = settle(distinct, "line-classes")
-    near = settle(near_lines(documents, distinct), "line-near")
+    near = settle(near_lines(documents, distinct, settings), "line-near")
     marked = distinct.select("h1", "h2", "first", "last").join(near.withColumn("near", F.lit(True)), "first", "left")
     gone = settle(marked.where("near or first < last").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-gone")
     met = lines.select("doc_id", "line_no", "place", "h1", "h2").join(gone, ["h1", "h2"]).where("near or place > first")
@@ -137,6 +156,8 @@ def dropped_lines(documents: DataFrame, settings: Settings = Settings()) -> Data
 def _with_text(documents: DataFrame, settings: Settings) -> DataFrame:
     """``_row`` (all columns), ``_drops`` and the new ``_text``."""
     drops = settle(dropped_lines(documents, settings), "line-drops").select(F.col("doc_id").alias("_id"), "drops")
+    lines = drops.agg(F.coalesce(F.sum(F.size("drops")), F.lit(0)).alias("n")).first()["n"]
+    drops = _spread(drops, lines, settings.small_rows)
     rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
     met = rows.join(drops, F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")), "left").select("_row", F.col("drops").alias("_drops"))
     kept = F.filter(_lines(F.col("_row.text")), lambda x, i: ~F.array_contains(F.col("_drops"), i))
