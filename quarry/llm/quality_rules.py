@@ -1,8 +1,9 @@
 """Quality rules: decision lists learned by sequential covering, applied as one Spark conditional expression.
 
 Each document gets interpretable statistics. From the labelled ones a list of threshold conjunctions for the rejected
-class is grown (by information gain on two thirds of the labelled rows) and pruned (on the other third). Every step of
-the learning is a histogram over all labelled rows, made in Spark; the driver sees features x bins counts only.
+class is grown (by information gain on two thirds of the labelled rows that pass the base rule) and pruned (on the other
+third). Every step of the learning is a histogram over all those rows, made in Spark; the driver sees features x bins
+counts only.
 
 Defined results: a null or empty text has zero statistics and fails the base rule; repeated rows each get their result;
 without usable labels no rule is learned and the base rule alone decides. Labels that are null, or of a null id, are
@@ -19,7 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.common import SPACE_RE, settle, split_words
 
-FEATURES = ("n_words", "mean_word", "symbols", "dup_lines", "repeats", "upper", "distinct", "line_words")
+#: None of them follows a text's length, so that long clean texts look like short ones.
+FEATURES = ("mean_word", "symbols", "dup_lines", "repeats", "upper", "line_words")
 
 
 @dataclass(frozen=True)
@@ -76,7 +78,6 @@ def with_statistics(df: DataFrame, text: Column) -> DataFrame:
         F.size("_lines").alias("_n_lines"),
         F.length("_t").alias("_n_chars"),
         left(r"[A-Z]+").alias("_n_upper"),
-        F.size(F.array_distinct("_w")).alias("_n_distinct"),
     )
     words, lines, chars = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "_n_lines", "_n_chars"))
     ratios = {
@@ -85,10 +86,9 @@ def with_statistics(df: DataFrame, text: Column) -> DataFrame:
         "dup_lines": F.col("n_dup_lines") / lines,
         "repeats": F.col("n_repeat_words") / words,
         "upper": F.col("_n_upper") / chars,
-        "distinct": F.col("_n_distinct") / words,
         "line_words": F.col("n_words") / lines,
     }
-    return out.withColumns(ratios).drop("_n_lines", "_n_chars", "_n_upper", "_n_distinct")
+    return out.withColumns(ratios).drop("_n_lines", "_n_chars", "_n_upper")
 
 
 def base_failed(settings: Settings = Settings()) -> Column:
@@ -115,7 +115,8 @@ def _gain(p: int, n: int, before_p: int, before_n: int) -> float:
 
 
 def learn_rules(statistics: DataFrame, settings: Settings = Settings()) -> list[list[Condition]]:
-    """Rules for the rejected class from rows with ``doc_id``, ``bad`` and the features, over all of them."""
+    """Rules for the rejected class from rows with ``doc_id``, ``bad`` and the statistics, over all that pass the base."""
+    statistics = statistics.where(~base_failed(settings))
     at = [(i + 1) / settings.bins for i in range(settings.bins - 1)]
     cuts_row = statistics.agg(*(F.percentile_approx(f, at, 10_000).alias(f) for f in FEATURES)).first()
     # Below the lowest value of a feature that is mostly constant there is nothing to cut.
