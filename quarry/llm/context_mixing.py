@@ -7,7 +7,7 @@ read, by the gradient of the coding cost, after each block. Block k holds at mos
 
 Counts are gathered in Spark as rows per (context, byte), at most 2^24 for each predictor whatever the corpus, and so the
 predictors' tables, one byte a bit node, are small enough to send to every task (three times 16 MB at most). Word counts
-have no such bound: the most frequent ``HEAD`` words are sent to every task, the others are joined with the counts.
+have no such bound: the most frequent words, at most ``HEAD``, are sent to every task, the others are joined with the counts.
 
 Defined results: a null text is empty, and scores as its end alone; null ids hash as the empty string; repeated rows are
 documents of their own. Without training texts all counts are 0. An empty table gives no rows. Only ``doc_id`` and
@@ -41,7 +41,8 @@ GATES = 3
 _BYTES = np.arange(256)
 #: For each byte, its eight bits and the eight nodes of the binary tree that lead to it.
 BITS = ((_BYTES[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.float32)
-NODES = np.stack([(1 << k) | (_BYTES >> (8 - k)) for k in range(8)], axis=1).astype(np.int32)
+NODES = np.stack([(1 << k) | (_BYTES >> (8 - k)) for k in range(8)], axis=1).astype(np.intp)
+SIGNS = 2 * BITS - 1
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -125,7 +126,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, _ = contexts(data)
             mask = _scored(len(data), starts, lengths)
             for table, context in zip(tables, found, strict=True):
-                np.add.at(table, (context[mask] << 8) | data[mask], 1)
+                cells = np.sort((context[mask] << 8) | data[mask])
+                first = np.append(0, np.flatnonzero(cells[1:] != cells[:-1]) + 1)
+                table[cells[first]] += np.diff(np.append(first, len(cells))).astype(np.int32)
             if len(words) > 1_000_000:
                 yield of_words()
     if words:
@@ -187,38 +190,42 @@ def cost(tables: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
     """The natural logarithm of the model's probability of each text and its end."""
     data, starts, lengths = _joined(texts)
     found, gate = contexts(data)
-    weights = np.full((len(texts) * GATES, PREDICTORS, 8), 0.45 / STEP, np.float32)
+    weights = np.full((PREDICTORS, len(texts) * GATES, 8), 0.45 / STEP, np.float32)
     order = np.argsort(-lengths, kind="stable")
     falling = lengths[order]
     out = np.zeros(len(texts))
+    small = np.uint16 if weights.shape[1] <= 1 << 16 else np.int64  # short keys sort in linear time
     edges = _block_edges(int(falling[0]))
     for low, high in zip(edges, edges[1:], strict=False):
         live = order[: int(np.searchsorted(-falling, -low, "left"))]
         sizes = np.minimum(lengths[live], high) - low
         ends = np.cumsum(sizes)
-        begins = ends - sizes
-        place = np.arange(int(ends[-1])) + np.repeat(starts[live] + low - begins, sizes)
-        lane = np.repeat(live, sizes)
-        symbol, key = data[place], lane * GATES + gate[place]
-        nodes = NODES[symbol]
-        logits = [t[(c[place] << 8)[:, None] + nodes] for t, c in zip(tables, found, strict=True)]
-        own = weights[key]
-        x = np.zeros(nodes.shape, np.float32)
-        for k, z in enumerate(logits):
-            x += own[:, k] * z
-        bits = BITS[symbol]
-        tail = np.exp(-np.abs(x))
-        # ln p(bit): of the likelier value -ln(1 + e), of the other one x less.
-        gain = np.where(bits == (x > 0), np.float32(0), -np.abs(x)) - np.log1p(tail)
-        out[live] += np.add.reduceat(gain.sum(axis=1, dtype=np.float64), begins)
+        place = np.arange(int(ends[-1])) + np.repeat(starts[live] + low - (ends - sizes), sizes)
+        key = (np.repeat(live, sizes) * GATES + gate.take(place)).astype(small)
+        # Bytes by (text, gate): each set of weights gets the sums over its own.
+        by = np.argsort(key, kind="stable")
+        place, key = place.take(by), key.take(by)
+        first = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+        sets = key[first].astype(np.intp)
+        many = np.diff(np.append(first, len(key)))
+        lane = np.repeat(np.arange(len(sets)), many)
+        symbol = data.take(place)
+        nodes, signs = NODES.take(symbol, axis=0), SIGNS.take(symbol, axis=0)
+        logits, x = [], np.zeros(signs.shape, np.float32)
+        for k, (table, context) in enumerate(zip(tables, found, strict=True)):
+            z = table.take((context.take(place).astype(np.intp) << 8)[:, None] + nodes)
+            logits.append(z)
+            x += weights[k].take(sets, axis=0).take(lane, axis=0) * z
+        # For the bit that came: p = 1 / (1 + odds), and the gradient's error is the other bit's probability.
+        odds = np.exp(-np.clip(signs * x, -60, 60))
+        total = 1 + odds
+        gain = np.add.reduceat(np.log(total), first, axis=0).sum(axis=1, dtype=np.float64)
+        out -= np.bincount(sets // GATES, gain, len(texts))
         if high < falling[0]:
-            error = bits - np.where(x > 0, 1, tail) / (1 + tail)
-            # Rows by (text, gate): each set of weights gets the gradient of its own bits.
-            by = np.argsort(key, kind="stable")
-            sets, first, many = np.unique(key[by], return_index=True, return_counts=True)
+            error = signs * (odds / total)
             rate = (RATE / STEP / np.sqrt(many)).astype(np.float32)[:, None]
             for k, z in enumerate(logits):
-                weights[sets, k] += rate * np.add.reduceat((error * z)[by], first, axis=0) / np.float32(STEP)
+                weights[k, sets] += rate * np.add.reduceat(error * z, first, axis=0) / np.float32(STEP)
     return out
 
 
@@ -261,9 +268,21 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
     counts = settle(gathered.groupBy("word", "cell").agg(F.sum("n").alias("n")), "lm-counts")
     words = counts.where("word is not null").select("word", "n")
     cells = counts.where("cell is not null").select(F.shiftright("cell", 16).alias("block"), "cell", "n")
-    blocks = {r["block"]: bytes(r["logits"]) for r in cells.groupBy("block").applyInPandas(_block_table, "block int, logits binary").collect()}
-    head = {bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(HEAD).collect()}
-    return Model(blocks, head), words
+    blocks = cells.groupBy("block").applyInPandas(_block_table, "block int, logits binary").toArrow().to_pydict()
+    top = words.where(F.col("n") >= _head_count(words)).toArrow().to_pydict()
+    return Model(dict(zip(blocks["block"], blocks["logits"], strict=True)), dict(zip(top["word"], top["n"], strict=True))), words
+
+
+def _head_count(words: DataFrame) -> int:
+    """The least count that at most ``HEAD`` words reach, on a scale of hundredths of a logarithm."""
+    scale = words.groupBy(F.floor(100 * F.log("n")).cast("int").alias("at")).agg(F.min("n").alias("n"), F.count("*").alias("c")).collect()
+    least, held = 1 << 62, 0
+    for r in sorted(scale, key=lambda r: -r["at"]):
+        held += r["c"]
+        if held > HEAD:
+            break
+        least = r["n"]
+    return least
 
 
 def _slim(documents: DataFrame) -> DataFrame:
