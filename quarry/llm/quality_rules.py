@@ -238,8 +238,10 @@ def filter_documents(documents: DataFrame, labels: DataFrame, settings: Settings
     slim = documents.select("doc_id", F.col("text").alias("_text")).join(known, "doc_id")
     rules = learn_rules(settle(with_statistics(slim, F.col("_text")).drop("_text"), "statistics"), settings)
     packed = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
-    kept = judged(with_statistics(packed, F.col("_row.text")), rules, settings).where("kept")
-    return kept.select("_row.*")
+    # A plain filter would be pushed below the statistics, with all their steps inlined into one expression that splits a
+    # text anew for each of its words; it does not pass a column that depends on the row's place.
+    kept = judged(with_statistics(packed, F.col("_row.text")), rules, settings).withColumn("_place", F.monotonically_increasing_id())
+    return kept.where("kept and _place >= 0").select("_row.*")
 
 
 __all__ = ["Condition", "Settings", "filter_documents", "fired_rule", "judged", "learn_rules", "quality_rules", "with_statistics", "SPACE_RE"]
