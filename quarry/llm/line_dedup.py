@@ -30,7 +30,6 @@ from quarry.llm.common import settle, split_words
 class Settings:
     min_words: int = 10
     max_words: int = 1 << 20  # ends get no longer than half of this
-    small_rows: int = 250_000  # of (id, line numbers) that may be sent to every task; more are joined by a shuffle
 
     def ends(self) -> list[int]:
         """Lengths of the compared ends: a line of n words uses the largest m with 2 m + 1 <= n."""
@@ -85,24 +84,38 @@ def _candidates(distinct: DataFrame) -> DataFrame:
     return met.groupBy("first").agg(F.min(F.when(F.col("side") == 1, F.col("m"))).alias("head"), F.min(F.when(F.col("side") == -1, F.col("m"))).alias("tail"))
 
 
-def _spread(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """``df``, marked to be sent to every task if its ``rows`` are few."""
-    return F.broadcast(df) if rows <= most else df
+#: Bits of the filter that keeps documents without candidates out of the shuffle: 2 MB, whatever the corpus.
+FILTER_BITS = 1 << 24
 
 
-def _words_of(documents: DataFrame, candidates: DataFrame, settings: Settings) -> DataFrame:
+def _possible(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``documents`` whose ``id`` may be in ``ids``: others pass only where hashes meet in the bit filter."""
+
+    def bit(df: DataFrame) -> DataFrame:
+        spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+        return df.withColumns({"_part": F.bitmap_bucket_number(spot), "_bit": F.bitmap_bit_position(spot)})
+
+    # FILTER_BITS / 32,768 rows of 4 KB at most.
+    parts = bit(ids).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    met = bit(documents).join(F.broadcast(parts), "_part")
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    on = F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)).cast("int") % 2 == 1
+    return met.where(on).drop("_part", "_bit", "_bits")
+
+
+def _words_of(documents: DataFrame, candidates: DataFrame) -> DataFrame:
     """``first, head, tail, words`` of the candidates, taken from their earliest documents."""
     top = F.lit("9223372036854775808").cast(PLACE)
     split = candidates.select("first", "head", "tail", F.floor(F.col("first") / LINES).cast(PLACE).alias("id"), F.pmod("first", F.lit(LINES).cast(PLACE)).cast("int").alias("line_no"))
-    wanted = split.groupBy("id").agg(F.collect_list(F.struct("first", "head", "tail", "line_no")).alias("wanted"))
+    wanted = settle(split.groupBy("id").agg(F.collect_list(F.struct("first", "head", "tail", "line_no")).alias("wanted")), "line-wanted")
     slim = documents.select(F.coalesce(F.col("doc_id").cast("long").cast(PLACE), top).cast(PLACE).alias("id"), "text")
-    each = slim.join(_spread(wanted, candidates.count(), settings.small_rows), "id").select(_lines(F.col("text")).alias("lines"), F.explode("wanted").alias("w"))
+    each = _possible(slim, wanted.select("id")).join(wanted, "id").select(_lines(F.col("text")).alias("lines"), F.explode("wanted").alias("w"))
     return each.select("w.first", "w.head", "w.tail", split_words(F.get("lines", F.col("w.line_no"))).alias("words"))
 
 
-def near_lines(documents: DataFrame, distinct: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def near_lines(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     """``first``: the earliest place of every distinct line that has an earlier one at one word edit."""
-    worded = _words_of(documents, settle(_candidates(distinct), "line-candidates"), settings).where(F.size("words") > 0)
+    worded = _words_of(documents, settle(_candidates(distinct), "line-candidates")).where(F.size("words") > 0)
     # Of rows that share an id and a place, the lines are told apart by their hash.
     worded = settle(worded.withColumn("h1", F.xxhash64(F.array_join("words", " "))).dropDuplicates(["first", "h1"]), "line-words")
     each = worded.select("first", "h1", "head", "tail", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
@@ -144,11 +157,11 @@ def within_one_edit(x: Column, y: Column) -> Column:
 def dropped_lines(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id, drops``: the numbers of the lines that go, of every document that has any."""
     lines = settle(line_table(documents, settings), "lines")
-    distinct = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), *(F.min(c).alias(c) for c in CARRIED))
+    distinct = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("copies"), *(F.min(c).alias(c) for c in CARRIED))
     distinct = settle(distinct, "line-classes")
-    near = settle(near_lines(documents, distinct, settings), "line-near")
-    marked = distinct.select("h1", "h2", "first", "last").join(near.withColumn("near", F.lit(True)), "first", "left")
-    gone = settle(marked.where("near or first < last").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-gone")
+    near = settle(near_lines(documents, distinct), "line-near")
+    marked = distinct.select("h1", "h2", "first", "copies").join(near.withColumn("near", F.lit(True)), "first", "left")
+    gone = settle(marked.where("near or copies > 1").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-gone")
     met = lines.select("doc_id", "line_no", "place", "h1", "h2").join(gone, ["h1", "h2"]).where("near or place > first")
     return met.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("drops"))
 
@@ -156,8 +169,6 @@ def dropped_lines(documents: DataFrame, settings: Settings = Settings()) -> Data
 def _with_text(documents: DataFrame, settings: Settings) -> DataFrame:
     """``_row`` (all columns), ``_drops`` and the new ``_text``."""
     drops = settle(dropped_lines(documents, settings), "line-drops").select(F.col("doc_id").alias("_id"), "drops")
-    lines = drops.agg(F.coalesce(F.sum(F.size("drops")), F.lit(0)).alias("n")).first()["n"]
-    drops = _spread(drops, lines, settings.small_rows)
     rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
     met = rows.join(drops, F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")), "left").select("_row", F.col("drops").alias("_drops"))
     kept = F.filter(_lines(F.col("_row.text")), lambda x, i: ~F.array_contains(F.col("_drops"), i))
