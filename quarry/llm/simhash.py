@@ -2,8 +2,10 @@
 
 A 64-bit fingerprint is cut into three segments of at most 23 bits. The Golay code [23,12] is perfect: every 23-bit word
 lies within 3 errors of exactly one codeword. The words within one error of a segment decode to at most six codewords,
-and segments that differ in one or two bits share one of them. Of 4 differing bits, some two segments have at most one
-each, or none and at most two; keys of those two kinds, from each pair of segments, therefore meet for all links.
+and segments that differ in one or two bits share one of them. Of 4 differing bits, a segment has none and another at most
+two, or two have one each and the third at most two. For the first case keys join a segment as it is with a codeword of
+another; for the second, a codeword of one with a half of the other and a third of the last, which pigeonholes leave
+equal. The keys of those two kinds therefore meet for all links, and have 29 to 34 bits, so that few others meet.
 
 Links found in a shared key are verified on the whole fingerprints. No key's members are paired with each other: all are
 first held against the key's least member; after contraction, only members of different components are compared.
@@ -131,14 +133,24 @@ def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if i != j:  # no error in segment i, at most two in segment j
                 put(tag, (parts[i] << 12)[:, None] | near[j][0], near[j][1], BOTH)
                 tag += 1
-    for i, j in ((0, 1), (0, 2), (1, 2)):  # at most one error in each: one side's neighbours meet the other's own word
-        (a, ma), (b, mb) = near[i], near[j]
-        put(tag, (a << 12)[:, :, None] | b[:, None, :], ma[:, :, None] & mb[:, None, :], PROBE)
-        put(tag, ((own[i] << 12) | own[j])[:, None], np.ones((len(prints), 1), bool), HELD)
-        tag += 1
+    for i, j, k in ((0, 1, 2), (0, 2, 1), (1, 2, 0)):
+        # One error in i: one side's neighbours meet the other's own word. One error in j: one of its halves has none. At
+        # most two in k: one of its thirds has none.
+        found, mask = near[i]
+        for half in _split(parts[j], SEGMENTS[j][1], 2):
+            for third in _split(parts[k], SEGMENTS[k][1], 3):
+                rest = half << 8 | third
+                put(tag, found << 20 | rest[:, None], mask, PROBE)
+                put(tag, (own[i] << 20 | rest)[:, None], np.ones((len(prints), 1), bool), HELD)
+                tag += 1
     return np.concatenate(keys), np.concatenate(places), np.concatenate(roles)
 
 
+def _split(segment: np.ndarray, bits: int, n: int) -> list[np.ndarray]:
+    edges = [bits * k // n for k in range(n + 1)]
+    return [(segment >> a) & ((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column(0).to_numpy(zero_copy_only=False)
