@@ -29,12 +29,15 @@ from pyspark.sql import DataFrame, functions as F
 from quarry.llm.common import settle
 
 PREDICTORS = 3
-HEAD = 1 << 18
+HEAD = 1 << 17
+WORDS_HELD = 300_000  # distinct words a task counts before it passes the counts on
+ROWS = 500  # documents taken out of a batch at once
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # stands for the end token: no word contains it
 STEP = 16.0  # table entries to a unit of logit
 RATE = 0.02
-CHUNK = 1 << 20
+CHUNK = 1 << 20  # bytes counted at once
+SCORED_CHUNK = 1 << 18  # bytes scored at once, which take about 400 bytes of arrays each
 MAX_BLOCK = 4096
 GATES = 3
 
@@ -88,7 +91,7 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, starts, lengths + 1
 
 
-def _chunks(ids: list, texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[list, list[bytes]]]:
+def _chunks(ids: list, texts: list[bytes], size: int) -> Iterator[tuple[list, list[bytes]]]:
     at = total = 0
     for k, t in enumerate(texts):
         total += len(t)
@@ -97,8 +100,12 @@ def _chunks(ids: list, texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[
             at, total = k + 1, 0
 
 
-def _lower(batch: pa.RecordBatch) -> tuple[list, list[bytes]]:
-    return batch.column(0).to_pylist(), [(t or b"").lower() for t in batch.column(1).to_pylist()]
+def _lower(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and lower-cased texts, about ``size`` bytes at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            some = batch.slice(at, ROWS)
+            yield from _chunks(some.column(0).to_pylist(), [(t or b"").lower() for t in some.column(1).to_pylist()], size)
 
 
 GATHERED = pa.schema([("word", pa.binary()), ("cell", pa.int32()), ("n", pa.int64())])
@@ -114,23 +121,22 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words.clear()
         return out
 
-    for batch in batches:
-        for ids, texts in _chunks(*_lower(batch)):
-            texts = [t for i, t in zip(ids, texts, strict=True) if not held_out(i)]
-            if not texts:
-                continue
-            for t in texts:
-                words.update(t.split())
-            words[END] += len(texts)
-            data, starts, lengths = _joined(texts)
-            found, _ = contexts(data)
-            mask = _scored(len(data), starts, lengths)
-            for table, context in zip(tables, found, strict=True):
-                cells = np.sort((context[mask] << 8) | data[mask])
-                first = np.append(0, np.flatnonzero(cells[1:] != cells[:-1]) + 1)
-                table[cells[first]] += np.diff(np.append(first, len(cells))).astype(np.int32)
-            if len(words) > 1_000_000:
-                yield of_words()
+    for ids, texts in _lower(batches, CHUNK):
+        texts = [t for i, t in zip(ids, texts, strict=True) if not held_out(i)]
+        if not texts:
+            continue
+        for t in texts:
+            words.update(t.split())
+        words[END] += len(texts)
+        data, starts, lengths = _joined(texts)
+        found, _ = contexts(data)
+        mask = _scored(len(data), starts, lengths)
+        for table, context in zip(tables, found, strict=True):
+            cells = np.sort((context[mask] << 8) | data[mask])
+            first = np.append(0, np.flatnonzero(cells[1:] != cells[:-1]) + 1)
+            table[cells[first]] += np.diff(np.append(first, len(cells))).astype(np.int32)
+        if len(words) > WORDS_HELD:
+            yield of_words()
     if words:
         yield of_words()
     for k, table in enumerate(tables):
@@ -166,16 +172,14 @@ def _block_table(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 class Model:
-    """The predictors' tables and the frequent words' counts."""
+    """The predictors' tables, as they are used, and the frequent words' counts."""
 
     def __init__(self, blocks: dict[int, bytes], head: dict[bytes, int]) -> None:
-        self.blocks, self.head = blocks, head
-
-    def tables(self) -> list[np.ndarray]:
-        out = [np.zeros((256, 1 << 16), np.int8) for _ in range(PREDICTORS)]
-        for block, logits in self.blocks.items():
-            out[block >> 8][block & 255] = np.frombuffer(logits, np.int8)
-        return [t.reshape(-1) for t in out]
+        self.head = head
+        dense = [np.zeros((256, 1 << 16), np.int8) for _ in range(PREDICTORS)]
+        for block, logits in blocks.items():
+            dense[block >> 8][block & 255] = np.frombuffer(logits, np.int8)
+        self.tables = [t.reshape(-1) for t in dense]
 
 
 def _block_edges(longest: int) -> list[int]:
@@ -247,17 +251,16 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_bytes"
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        tables, logs = model.tables(), _Logs(model.head)
-        for batch in batches:
-            for ids, texts in _chunks(*_lower(batch)):
-                scores = cost(tables, texts) / math.log(10)
-                rows = []
-                for i, t, s in zip(ids, texts, scores.tolist(), strict=True):
-                    words = t.split()
-                    logs.others = []
-                    known = sum(map(logs.__getitem__, words))
-                    rows.append((i, held_out(i), len(t), len(words), known, logs.others, s))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCORED.types, strict=True)], schema=SCORED)
+        tables, logs = model.tables, _Logs(model.head)
+        for ids, texts in _lower(batches, SCORED_CHUNK):
+            scores = cost(tables, texts) / math.log(10)
+            rows = []
+            for i, t, s in zip(ids, texts, scores.tolist(), strict=True):
+                words = t.split()
+                logs.others = []
+                known = sum(map(logs.__getitem__, words))
+                rows.append((i, held_out(i), len(t), len(words), known, logs.others, s))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCORED.types, strict=True)], schema=SCORED)
 
     return run
 

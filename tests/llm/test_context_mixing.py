@@ -64,7 +64,7 @@ def test_base_without_a_head(make_docs, odd_texts, scored, monkeypatch):
 
 def test_score_against_a_bit_at_a_time(scored, odd_texts):
     docs, out = scored
-    tables = cm.train(docs)[0].tables()
+    tables = cm.train(docs)[0].tables
     for k in [0, 1, 2, 3, 5, 7, 9, 20]:
         text = (odd_texts[k] or "").encode().lower()
         assert out[k]["score"] == pytest.approx(brute_cost(tables, text) / math.log(10), rel=1e-4)
