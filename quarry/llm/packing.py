@@ -11,7 +11,9 @@ lowest level. An empty table gives no rows. Only ``doc_id`` and ``text`` are rea
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,33 +21,33 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+assert array("I").itemsize == 4 and sys.byteorder == "little"  # an array's bytes are then the ids' form
+
 END_ID = 1
 WINDOW = 2048
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of white-space separated words, as little-endian 32-bit bytes.
 
     The vocabulary's tokenizer never joins across white space, so a text's ids are its words' ids in order. Words seen
     are remembered, up to ``limit`` of them, then forgotten together.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000) -> None:
-        super().__init__({"": b""})
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 600_000) -> None:
         self.encode, self.limit = encode, limit
+        self.known: dict[str, bytes] = {"": b""}
 
     def texts(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set().union(*words).difference(self))
-        if len(self) + len(fresh) > self.limit:
-            self.clear()
-            self[""] = b""
+        fresh = list(set().union(*words).difference(self.known))
+        if len(self.known) + len(fresh) > self.limit:
+            self.known = {"": b""}
             fresh = list(set().union(*words) - {""})
-        for word, ids in zip(fresh, self.encode(fresh), strict=True):
-            self[word] = np.array(ids, "<u4").tobytes()
-        get = self.__getitem__
+        self.known.update((word, array("I", ids).tobytes()) for word, ids in zip(fresh, self.encode(fresh), strict=True))
+        get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
