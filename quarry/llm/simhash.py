@@ -189,14 +189,15 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, distance: int = 4) -> DataFrame:
-    """``doc_id, text_hash, print, component_id`` of each row."""
+    """``doc_id, text_hash, print, component_id`` of each row, and ``root``, a fingerprint that names its component also
+    where all ids are null."""
     slim = settle(fingerprints(documents), "prints")
     classes = settle(slim.groupBy("print").agg(F.min("doc_id").alias("least_id")), "classes")
     found = links(classes, distance)
     rooted = classes.join(found, F.col("print") == F.col("node"), "left").select("print", "least_id", F.coalesce("root", "print").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_print = settle(rooted.join(roots, "root").select("print", "component_id"), "components")
-    return slim.join(of_print, "print").select("doc_id", "text_hash", "print", "component_id")
+    of_print = settle(rooted.join(roots, "root").select("print", "component_id", "root"), "components")
+    return slim.join(of_print, "print").select("doc_id", "text_hash", "print", "component_id", "root")
 
 
 def component_rows(documents: DataFrame) -> DataFrame:
@@ -210,7 +211,7 @@ def keep_one(documents: DataFrame, distance: int = 4) -> DataFrame:
     Of repeated rows of that id, the one with the least text hash and then any of the equal rows stays.
     """
     found = near_duplicates(documents, distance)
-    kept = found.groupBy("component_id").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
+    kept = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
     kept = settle(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")), "kept")
     rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
     rows = rows.withColumn("_hash", F.xxhash64("_row.text"))

@@ -98,3 +98,9 @@ def test_keep_one(make_docs, odd_texts):
     twice = simhash.keep_one(make_docs(["same words here", "same words here", None], ids=[5, 5, None]))
     assert sorted((r["doc_id"], r["text"]) for r in twice.where("doc_id = 5").collect()) == [(5, "same words here")]
     assert twice.count() == 2
+
+
+def test_keep_one_keeps_different_texts_of_null_ids(make_docs):
+    texts = ["rivers run slowly past the old mill", "a cat sat on a warm stone wall", "rivers run slowly past the old mill", "nine ships left the port at dawn"]
+    kept = simhash.keep_one(make_docs(texts, ids=[None, None, None, 4]))
+    assert sorted(r["text"] for r in kept.collect()) == sorted(set(texts))
