@@ -10,9 +10,9 @@ other itself. A key thus needs only its earliest line: no pairs within a key are
 are verified word by word. One edit cannot change both ends of a line, so only lines that share their first or their last
 words (almost half of them) with another emit variants, and only at places outside of a shared end.
 
-Defined results: null texts stay null and have no lines; empty texts stay. Rows that share an id are one document: lines
-at equal places of it are not earlier than each other, and null ids are one document after all others. Shorter lines
-always stay. A text whose lines all go becomes empty; no document is dropped. An empty table gives an empty one. All
+Defined results: null texts stay null and have no lines; empty texts stay. Every row is a document of its own: rows that
+share an id come one after another in a fixed order of their texts' hashes, and null ids come after all others. Shorter
+lines always stay. A text whose lines all go becomes empty; no document is dropped. An empty table gives an empty one. All
 columns are kept, whatever their names; ``n_chars``, where there is one, follows the new text.
 """
 
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import settle, split_words
+from quarry.llm.common import bucketed_rank, settle, split_words
 
 
 @dataclass(frozen=True)
@@ -39,21 +39,50 @@ class Settings:
         return out
 
 
-#: A place is id * LINES + line number, as a decimal; null ids stand after the largest long.
+#: A document is id * RANKS + its rank among the rows of that id, as a decimal; null ids stand after the largest long. A
+#: place is document * LINES + line number.
+RANKS = 1 << 31
 LINES = 1_000_000_000
 PLACE = "decimal(38,0)"
+#: Buckets in which the rows of one id are ranked.
+BUCKETS = 64
+
+
+def numbered(documents: DataFrame) -> DataFrame:
+    """``_row`` (all columns) and ``_doc``, which no other row has and which orders the documents.
+
+    Only rows that share their id are written out: equal ones can't be told apart otherwise.
+    """
+    top = F.lit("9223372036854775808").cast(PLACE)
+    rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
+    rows = rows.withColumn("_id", F.coalesce(F.col("_row.doc_id").cast("long").cast(PLACE), top).cast(PLACE))
+    doc = lambda rank: (F.col("_id") * RANKS + rank).cast(PLACE).alias("_doc")
+    shared = settle(rows.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"), "line-shared-ids")
+    if shared.isEmpty():
+        return rows.select("_row", doc(F.lit(0)))
+    hashed = rows.join(shared, "_id").withColumns({"_hash": F.xxhash64("_row.text"), "_tie": F.monotonically_increasing_id()})
+    hashed = settle(hashed, "line-shared-rows")
+    # One row of each text by the text's hash, then their copies, dealt out evenly: those lose the same lines in any order.
+    copies = hashed.select("_id", "_hash", "_tie")
+    ones = copies.groupBy("_id", "_hash").agg(F.min("_tie").alias("_one"))
+    spread = F.when(F.col("_one").isNotNull(), F.pmod("_hash", F.lit(BUCKETS))).otherwise(F.pmod(F.xxhash64("_tie"), F.lit(BUCKETS)) + BUCKETS)
+    dealt = settle(copies.join(ones.select("_one"), F.col("_tie") == F.col("_one"), "left").withColumn("_spread", spread), "line-copies")
+    ranks = bucketed_rank(dealt, ["_id"], [F.col("_hash"), F.col("_tie")], F.col("_spread"), 2 * BUCKETS, "_rank")
+    ranks = ranks.select(F.col("_tie").alias("_at"), "_rank")
+    ranked = hashed.join(ranks, F.col("_tie") == F.col("_at")).select("_row", doc(F.col("_rank")))
+    return settle(ranked, "line-ranked-rows").union(rows.join(shared, "_id", "left_anti").select("_row", doc(F.lit(0))))
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def line_table(documents: DataFrame, settings: Settings) -> DataFrame:
-    """``doc_id, line_no, place, h1, h2`` and the ends of every line that is long enough."""
-    slim = documents.select(F.col("doc_id").cast("long"), F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
+def line_table(rows: DataFrame, settings: Settings) -> DataFrame:
+    """``place, h1, h2`` and the ends of every line that is long enough."""
+    slim = rows.select("_doc", F.posexplode(_lines(F.col("_row.text"))).alias("line_no", "line"))
     worded = slim.withColumn("words", split_words(F.col("line"))).withColumn("n", F.size("words"))
     worded = worded.where(F.col("n") >= settings.min_words).withColumn("norm", F.array_join("words", " "))
-    place = F.coalesce(F.col("doc_id").cast(PLACE), F.lit("9223372036854775808").cast(PLACE)) * LINES + F.col("line_no")
+    place = F.col("_doc") * LINES + F.col("line_no")
 
     ends = settings.ends()
     at = F.lit(ends[0])
@@ -68,7 +97,7 @@ def line_table(documents: DataFrame, settings: Settings) -> DataFrame:
         return F.when(F.col(m).isNotNull(), F.xxhash64(F.lit(side), F.col(m), part))
 
     keys = {"head": end("m", 1), "tail": end("m", -1), "head2": end("m2", 1), "tail2": end("m2", -1)}
-    return worded.select("doc_id", "line_no", place.cast(PLACE).alias("place"), F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), F.col("norm")).alias("h2"), "m", "m2", *(v.alias(k) for k, v in keys.items()))
+    return worded.select(place.cast(PLACE).alias("place"), F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), F.col("norm")).alias("h2"), "m", "m2", *(v.alias(k) for k, v in keys.items()))
 
 
 CARRIED = ("m", "m2", "head", "tail", "head2", "tail2")
@@ -103,25 +132,30 @@ def _possible(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return met.where(on).drop("_part", "_bit", "_bits")
 
 
-def _words_of(documents: DataFrame, candidates: DataFrame) -> DataFrame:
+def _place(place: Column) -> tuple[Column, Column]:
+    """The document and the line number of a place; null ids and ids below zero have them too."""
+    at = F.pmod(place, F.lit(LINES).cast(PLACE)).cast("int")
+    return F.round((place - at) / LINES).cast(PLACE), at
+
+
+def _words_of(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """``first, head, tail, words`` of the candidates, taken from their earliest documents."""
-    top = F.lit("9223372036854775808").cast(PLACE)
-    split = candidates.select("first", "head", "tail", F.floor(F.col("first") / LINES).cast(PLACE).alias("id"), F.pmod("first", F.lit(LINES).cast(PLACE)).cast("int").alias("line_no"))
+    doc, line_no = _place(F.col("first"))
+    split = candidates.select("first", "head", "tail", doc.alias("id"), line_no.alias("line_no"))
     wanted = settle(split.groupBy("id").agg(F.collect_list(F.struct("first", "head", "tail", "line_no")).alias("wanted")), "line-wanted")
-    slim = documents.select(F.coalesce(F.col("doc_id").cast("long").cast(PLACE), top).cast(PLACE).alias("id"), "text")
+    slim = rows.select(F.col("_doc").alias("id"), F.col("_row.text").alias("text"))
     each = _possible(slim, wanted.select("id")).join(wanted, "id").select(_lines(F.col("text")).alias("lines"), F.explode("wanted").alias("w"))
     return each.select("w.first", "w.head", "w.tail", split_words(F.get("lines", F.col("w.line_no"))).alias("words"))
 
 
-def near_lines(documents: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_lines(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     """``first``: the earliest place of every distinct line that has an earlier one at one word edit."""
-    worded = _words_of(documents, settle(_candidates(distinct), "line-candidates")).where(F.size("words") > 0)
-    # Of rows that share an id and a place, the lines are told apart by their hash.
-    worded = settle(worded.withColumn("h1", F.xxhash64(F.array_join("words", " "))).dropDuplicates(["first", "h1"]), "line-words")
-    each = worded.select("first", "h1", "head", "tail", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
+    worded = _words_of(rows, settle(_candidates(distinct), "line-candidates")).where(F.size("words") > 0)
+    worded = settle(worded, "line-words")
+    each = worded.select("first", "head", "tail", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
     # A sequence's hash is the exclusive or of its (place, word) hashes; leaving out word i moves the later ones down.
-    each = each.select("first", "h1", "head", "tail", "n", "i", F.xxhash64("i", "w").alias("here"), F.xxhash64(F.col("i") - 1, "w").alias("down"))
-    line = Window.partitionBy("first", "h1")
+    each = each.select("first", "head", "tail", "n", "i", F.xxhash64("i", "w").alias("here"), F.xxhash64(F.col("i") - 1, "w").alias("down"))
+    line = Window.partitionBy("first")
     running = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     upto = each.withColumns({"a": F.bit_xor("here").over(running), "b": F.bit_xor("down").over(running), "down_all": F.bit_xor("down").over(line)})
     rest = F.col("a").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("b")).bitwiseXOR(F.col("down_all"))
@@ -154,23 +188,24 @@ def within_one_edit(x: Column, y: Column) -> Column:
     return F.when(sizes == 0, rest(x, 1) == rest(y, 1)).when(sizes == 1, rest(x, 1) == rest(y, 0)).when(sizes == -1, rest(x, 0) == rest(y, 1)).otherwise(F.lit(False))
 
 
-def dropped_lines(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, drops``: the numbers of the lines that go, of every document that has any."""
-    lines = settle(line_table(documents, settings), "lines")
+def dropped_lines(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``_doc, drops``: the numbers of the lines that go, of every document that has any."""
+    lines = settle(line_table(rows, settings), "lines")
     distinct = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("copies"), *(F.min(c).alias(c) for c in CARRIED))
     distinct = settle(distinct, "line-classes")
-    near = settle(near_lines(documents, distinct), "line-near")
+    near = settle(near_lines(rows, distinct), "line-near")
     marked = distinct.select("h1", "h2", "first", "copies").join(near.withColumn("near", F.lit(True)), "first", "left")
     gone = settle(marked.where("near or copies > 1").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-gone")
-    met = lines.select("doc_id", "line_no", "place", "h1", "h2").join(gone, ["h1", "h2"]).where("near or place > first")
-    return met.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("drops"))
+    met = lines.select("place", "h1", "h2").join(gone, ["h1", "h2"]).where("near or place > first")
+    doc, line_no = _place(F.col("place"))
+    return met.select(doc.alias("_doc"), line_no.alias("line_no")).groupBy("_doc").agg(F.array_sort(F.collect_set("line_no")).alias("drops"))
 
 
 def _with_text(documents: DataFrame, settings: Settings) -> DataFrame:
     """``_row`` (all columns), ``_drops`` and the new ``_text``."""
-    drops = settle(dropped_lines(documents, settings), "line-drops").select(F.col("doc_id").alias("_id"), "drops")
-    rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
-    met = rows.join(drops, F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")), "left").select("_row", F.col("drops").alias("_drops"))
+    rows = numbered(documents)
+    drops = settle(dropped_lines(rows, settings), "line-drops")
+    met = rows.join(drops, "_doc", "left").select("_row", F.col("drops").alias("_drops"))
     kept = F.filter(_lines(F.col("_row.text")), lambda x, i: ~F.array_contains(F.col("_drops"), i))
     return met.withColumn("_text", F.when(F.col("_drops").isNull(), F.col("_row.text")).otherwise(F.array_join(kept, "\n")))
 
