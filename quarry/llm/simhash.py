@@ -210,7 +210,11 @@ def keep_one(documents: DataFrame, distance: int = 4) -> DataFrame:
 
     Of repeated rows of that id, the one with the least text hash and then any of the equal rows stays.
     """
-    found = near_duplicates(documents, distance)
+    return keep_rows(documents, near_duplicates(documents, distance))
+
+
+def keep_rows(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows that stay if ``found`` has ``doc_id``, ``text_hash`` and the component's ``root`` of each row."""
     kept = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
     kept = settle(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")), "kept")
     rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
