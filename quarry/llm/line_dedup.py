@@ -12,7 +12,8 @@ words (almost half of them) with another emit variants, and only at places outsi
 
 Defined results: null texts stay null and have no lines; empty texts stay. Every row is a document of its own: rows that
 share an id come one after another in a fixed order of their texts' hashes, and null ids come after all others. Shorter
-lines always stay. A text whose lines all go becomes empty; no document is dropped. An empty table gives an empty one. All
+lines always stay, unless ``short_copies`` is set: then a shorter line that has a word goes if an earlier one equals it.
+The pipeline sets it; the query's SQL does not have it. A text whose lines all go becomes empty; no document is dropped. An empty table gives an empty one. All
 columns are kept, whatever their names; ``n_chars``, where there is one, follows the new text.
 """
 
@@ -30,6 +31,7 @@ from quarry.llm.common import bucketed_rank, settle, split_words
 class Settings:
     min_words: int = 10
     max_words: int = 1 << 20  # ends get no longer than half of this
+    short_copies: bool = False  # exact copies of lines under min_words go as well
 
     def ends(self) -> list[int]:
         """Lengths of the compared ends: a line of n words uses the largest m with 2 m + 1 <= n."""
@@ -78,17 +80,17 @@ def _lines(text: Column) -> Column:
 
 
 def line_table(rows: DataFrame, settings: Settings) -> DataFrame:
-    """``place, h1, h2`` and the ends of every line that is long enough."""
+    """``place, h1, h2`` of every compared line, and the ends of those that are long enough for edits."""
     slim = rows.select("_doc", F.posexplode(_lines(F.col("_row.text"))).alias("line_no", "line"))
     worded = slim.withColumn("words", split_words(F.col("line"))).withColumn("n", F.size("words"))
-    worded = worded.where(F.col("n") >= settings.min_words).withColumn("norm", F.array_join("words", " "))
+    worded = worded.where(F.col("n") >= (1 if settings.short_copies else settings.min_words)).withColumn("norm", F.array_join("words", " "))
     place = F.col("_doc") * LINES + F.col("line_no")
 
     ends = settings.ends()
-    at = F.lit(ends[0])
+    at = F.when(F.col("n") >= settings.min_words, F.lit(ends[0]))
     before = F.lit(None).cast("int")  # a line at the lower edge of its length also has the ends of those one shorter
     for shorter, m in zip(ends, ends[1:], strict=False):
-        at = F.when(F.col("n") >= 2 * m + 1, m).otherwise(at)
+        at = F.when(F.col("n") >= max(2 * m + 1, settings.min_words), m).otherwise(at)
         before = F.when(F.col("n") == 2 * m + 1, shorter).otherwise(before)
     worded = worded.withColumns({"m": at, "m2": before})
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quarry.llm import line_dedup as ld
 
 
@@ -94,3 +95,19 @@ def test_rows_that_share_an_id_are_documents_of_their_own(make_docs):
     g = [line("g"), line("h")], ["", line("g") + " x\n" + line("h")]
     want = [texts[0], line("c"), texts[2], line("f"), ""]
     assert sorted(out) in [sorted([*want, *x]) for x in g]
+
+
+def test_pipeline_drops_copies_of_short_lines(spark, make_docs, odd_texts):
+    texts = [*odd_texts, "short\n\n a  b\nlong enough " + " ".join(f"v{k}" for k in range(9)), "a b\nshort\n \na c", "one\na b c d e f g h i", "a b c d e f g h x\na b c d e f g h i"]
+    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, make_docs(texts), "").collect()}
+    seen, want = set(), []
+    for text in brute(texts):  # the edits of longer lines as before, then exact copies of any length
+        kept = []
+        for x in (text or "").split("\n"):
+            w = tuple(words(x))
+            if not w or len(w) >= 10 or w not in seen:
+                kept.append(x)
+            seen.add(w)
+        want.append(None if text is None else "\n".join(kept))
+    assert [found[k] for k in range(len(texts))] == want
+    assert found[len(odd_texts) + 1] == " \na c"
