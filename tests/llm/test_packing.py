@@ -79,10 +79,50 @@ def test_lengths_fill_windows():
     assert sum(v < 64 for v in used.values()) <= 1
 
 
+def test_long_documents_alone_keep_few_windows_open():
+    rng, held, most = random.Random(4), set(), 0
+    lengths = [rng.randrange(1025, 2048) for _ in range(3000)]
+    left, windows = list(lengths), defaultdict(int)
+
+    def counted():
+        nonlocal most
+        for k, n in enumerate(lengths):
+            held.add(k)
+            most = max(most, len(held))
+            yield n
+
+    for place, _, length, window, _ in p.pack_lengths(counted()):
+        left[place] -= length
+        windows[window] += length
+        if not left[place]:
+            held.discard(place)
+    assert not any(left) and sum(v < p.WINDOW for v in windows.values()) <= 1
+    assert most <= 4 * p.MOST_OPEN
+
+
 def test_forgotten_words_are_encoded_again():
-    ids = p.WordIds(lambda ws: [[len(w)] for w in ws], limit=3)
+    asked = []
+    ids = p.WordIds(lambda ws: [asked.append(w) or np.array([len(w)], "<u4").tobytes() for w in ws], limit=3)
     assert ids.texts(["a bb a"])[0] == np.array([1, 2, 1], "<u4").tobytes()
     assert ids.texts(["ccc dddd a"])[0] == np.array([3, 4, 1], "<u4").tobytes()
+    assert ids.texts(["e f g"])[0] == np.array([1, 1, 1], "<u4").tobytes()
+    assert ids.texts(["bb a"])[0] == np.array([2, 1], "<u4").tobytes()
+    assert sorted(asked) == sorted(["a", "bb", "ccc", "dddd", "e", "f", "g", "a", "bb"])
+
+
+def test_merging_by_rank_equals_the_tokenizer():
+    assert p.merges_by_rank(word_vocabulary())
+    rng = random.Random(2)
+    letters = "aaaabbbeeeinorstthlmzqAEIßÄöñÿÈ"
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 24))) + rng.choice(["", "", ",", "...", "%$", "?!#"]) for _ in range(20_000)]
+    words += ["", "x" * 5000, "'s", "a's", "don't", "e\u0301", "İ", "Σας", "<|endoftext|>", "a<|endoftext|>b", "ªº", "½", "×÷", "12,5", "µ"]
+    assert p.word_encoder(word_vocabulary(), True)(words) == p.word_encoder(word_vocabulary())(words)
+
+
+def test_other_vocabularies_are_not_merged_by_rank():
+    import public_tokenizers
+
+    assert not p.merges_by_rank(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_empty_table(make_docs):
