@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -14,24 +16,61 @@ SPACE_RE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local session without it gets one of its own;
+    on a cluster there is none to fall back on."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="quarry-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a reread, not a recomputation, and the planner gets true sizes.
+    This cuts the lineage: a lost executor costs a reread, not a recomputation, and the planner gets true sizes. With
+    ``release`` the driver drops what it no longer refers to, and with that the shuffle files of finished steps.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._settled_at = at
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        if at := df.__dict__.pop("_settled_at", None):
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of the filter of ``maybe_in``: at most 2^18 rows of 16 bytes are sent to the tasks, whatever the corpus.
+FILTER_BITS = 1 << 24
+
+
+def maybe_in(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``_maybe``: false only where ``key`` is certainly not in the one column of ``keys``.
+
+    Rows that have nothing to look up thus pass by a join without being shuffled. Where hashes meet in the filter, or
+    with more keys than it has bits, more rows take the join; no result depends on it.
+    """
+    spot = F.pmod(F.xxhash64(keys[keys.columns[0]]), F.lit(FILTER_BITS))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    words = keys.select(F.shiftright(spot, 6).alias("_word"), bit((spot % 64).cast("int")).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    own = rows.withColumn("_spot", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).withColumn("_word", F.shiftright("_spot", 6))
+    met = own.join(F.broadcast(words), "_word", "left")
+    on = F.col("_bits").bitwiseAND(bit((F.col("_spot") % 64).cast("int"))) != 0
+    return met.withColumn("_maybe", F.coalesce(on, F.lit(False))).drop("_spot", "_word", "_bits")
 
 
 def utf8_bytes(text: Column) -> Column:

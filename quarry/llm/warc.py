@@ -22,13 +22,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quarry.llm.common import settle, shared_dir
+from quarry.llm.common import forget, settle, shared_dir
 
 MAGIC = "WARC/1.0\r\n"
 _MAGIC = MAGIC.encode()
 _EXTRA = len(_MAGIC)
 _SCAN = "file string, block long, local long, length long, head long, content long, record_id string, record_type string, uri string, refers_to string, digest string, stated_bytes long, whole boolean, read_digest string"
-_INDEX = "file string, block long, local long, offset long, record_offset long, is_record boolean, whole boolean, head long, content long, record_id string, record_type string, uri string, refers_to string, digest string, stated_bytes long, read_digest string"
+#: All that the chain of an archive needs of a candidate, and what it finds.
+_NUMBERS = ("file", "block", "local", "length", "head", "content")
+_CHAIN = "file string, block long, local long, offset long, record_offset long, is_record boolean"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -157,7 +159,7 @@ def reached(offsets: np.ndarray, following: np.ndarray) -> np.ndarray:
 
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One archive's candidates: true offsets from the splits' lengths, then the chain."""
+    """One archive's candidates, as numbers: true offsets from the splits' lengths, then the chain."""
     pdf = pdf.sort_values(["block", "local"], ignore_index=True)
     used = (pdf["length"] + _EXTRA).groupby(pdf["block"]).sum().sort_index()
     base = used.cumsum() - used
@@ -170,7 +172,7 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
         record[own] = reached(offsets[own], ends[own])
     pdf["is_record"] = record
     pdf["record_offset"] = pd.Series(np.where(record, offsets, np.nan)).ffill().astype("Int64")
-    return pdf[[x.strip().split(" ")[0] for x in _INDEX.split(",")]]
+    return pdf[[x.strip().split(" ")[0] for x in _CHAIN.split(",")]]
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame:
@@ -181,10 +183,14 @@ def _text(spark: SparkSession, path: str) -> DataFrame:
 def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """One row a record: ``record_id, record_type, uri, refers_to, digest, payload_bytes, file, offset`` (and ``payload``).
 
-    ``digest`` is checked against what was read. Tasks hold a batch of records; an archive's chain holds a few numbers a
-    candidate. Records whose payload contains the magic are put together again in a second pass, made only if there are any.
+    ``digest`` is that of the payload as read, of a revisit the stated one; ``damaged`` says whether a stated digest differs
+    from it, so that one bad record does not end a job. Tasks hold a batch of records; an archive's chain holds six numbers
+    a candidate. Records whose payload contains the magic are put together again in a second pass, made only if there are any.
     """
-    index = settle(_text(spark, path).mapInArrow(_scan, _SCAN).groupBy("file").applyInPandas(_chain, _INDEX), "archive-index")
+    scan = settle(_text(spark, path).mapInArrow(_scan, _SCAN), "archive-scan")
+    chain = scan.select(*_NUMBERS).groupBy("file").applyInPandas(_chain, _CHAIN)
+    index = settle(scan.join(chain, ["file", "block", "local"]), "archive-index")
+    forget(scan)
     parted = index.where("not is_record and record_offset is not null").select("file", "record_offset").distinct()
     heads = index.where("is_record")
     if payload:
@@ -199,10 +205,11 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
     else:
         heads = heads.withColumns({"payload": F.lit(None).cast("binary"), "body_digest": F.lit(None).cast("string")})
     read = F.coalesce("body_digest", "read_digest")
-    wrong = (F.col("record_type") != "revisit") & F.col("digest").isNotNull() & ~F.col("digest").eqNullSafe(read)
-    checked = F.when(wrong, F.raise_error(F.concat(F.lit("payload digest differs in "), "file"))).otherwise(F.coalesce("digest", read))
+    revisit = F.col("record_type").eqNullSafe(F.lit("revisit"))
+    digest = F.when(revisit, F.coalesce("digest", read)).otherwise(F.coalesce(read, F.col("digest")))
+    damaged = ~revisit & F.col("digest").isNotNull() & ~F.col("digest").eqNullSafe(read)
     size = F.when(F.col("record_type") == "revisit", F.coalesce("stated_bytes", "content")).otherwise(F.col("content"))
-    columns = ["record_id", "record_type", "uri", "refers_to", checked.alias("digest"), size.alias("payload_bytes"), "file", "offset"]
+    columns = ["record_id", "record_type", "uri", "refers_to", digest.alias("digest"), damaged.alias("damaged"), size.alias("payload_bytes"), "file", "offset"]
     return heads.select(*columns, *["payload"] * payload)
 
 
