@@ -2,8 +2,9 @@
 
 ``read_pages`` gives one row a page of each media value; ``encode`` stores 8-bit samples as such a file.
 
-Defined results: null media give no rows, as do files without a directory; unknown compressions or predictors and
-damaged files raise ValueError. For ``media_digests`` a null text is an empty one, whose payload is 64 zero bytes.
+Defined results: null media give no rows, as do files without a directory. Of a damaged file, or one with an unknown
+compression or predictor, ``read_pages`` gives the pages before the fault and a row with its ``error``; ``pages`` raises
+ValueError. For ``media_digests`` a null text is an empty one, whose payload is 64 zero bytes.
 Repeated rows each get their result. Only the named columns are read, so others cannot clash.
 """
 
@@ -203,6 +204,13 @@ def _block(data: bytes, compression: int, predictor: int, order: str, bits: int,
 
 def pages(data: bytes) -> Iterator[Page]:
     """Walk the image directories; the pixels come in row order, samples in native little-endian bytes."""
+    try:
+        yield from _pages(data)
+    except (struct.error, zlib.error, IndexError, OverflowError) as e:
+        raise ValueError(f"damaged file: {e}") from e
+
+
+def _pages(data: bytes) -> Iterator[Page]:
     for number, (order, f) in enumerate(_directories(data)):
         if not {WIDTH, HEIGHT} <= f.keys() or not ({TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS} <= f.keys() or {STRIP_OFFSETS, STRIP_COUNTS} <= f.keys()):
             raise ValueError("an image directory lacks its size or its data")
@@ -265,11 +273,11 @@ def encode(payload: bytes, width: int = 64, page_rows: int = 4096, strip_rows: i
     return bytes(out)
 
 
-PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, pixels binary"
+PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, pixels binary, error string"
 
 
 def read_pages(df: DataFrame, key: str, media: str) -> DataFrame:
-    """``key`` and one row a page of the TIFF files in the binary column ``media``."""
+    """``key`` and one row a page of the TIFF files in the binary column ``media``; a row with ``error`` ends a bad file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,10 +285,18 @@ def read_pages(df: DataFrame, key: str, media: str) -> DataFrame:
                 data = batch.column(1)[row].as_py()
                 if data is None:
                     continue
-                found = list(pages(data))
-                columns = [pa.array([getattr(p, n) for p in found], t) for n, t in (("number", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("pixels", pa.binary()))]
-                keys = pa.array([batch.column(0)[row].as_py()] * len(found), batch.column(0).type)
-                yield pa.RecordBatch.from_arrays([keys, *columns], names=["key", "page", "width", "height", "samples", "bits", "compression", "pixels"])
+                found: list[Page] = []
+                errors: list[str | None] = []
+                try:
+                    for p in pages(data):
+                        found.append(p)
+                        errors.append(None)
+                except ValueError as e:
+                    errors.append(str(e))
+                read = [*found, None][: len(errors)]
+                columns = [pa.array([getattr(p, n, None) for p in read], t) for n, t in (("number", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("pixels", pa.binary()))]
+                keys = pa.array([batch.column(0)[row].as_py()] * len(read), batch.column(0).type)
+                yield pa.RecordBatch.from_arrays([keys, *columns, pa.array(errors, pa.string())], names=["key", "page", "width", "height", "samples", "bits", "compression", "pixels", "error"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(media).alias("media")).mapInArrow(run, f"key {kind}, {PAGE_SCHEMA}").withColumnRenamed("key", key)

@@ -50,7 +50,7 @@ def test_big_endian_wide_samples_in_planes():
 def test_damaged_files():
     media = tiff.encode(bytes(64))
     for bad in (b"no", media[:4] + struct.pack("<I", 5) + media[8:], b"II*\0" + media[4:].replace(struct.pack("<HHII", 259, 3, 1, 8), struct.pack("<HHII", 259, 3, 1, 99))):
-        with pytest.raises((ValueError, struct.error, zlib.error)):
+        with pytest.raises(ValueError):
             list(tiff.pages(bad))
 
 
@@ -74,3 +74,11 @@ def test_rows_of_pages(spark, make_docs):
     df = spark.createDataFrame([(1, bytearray(media)), (2, None)], "page int, m binary")
     assert [(r["page"], r["height"]) for r in tiff.read_pages(df.withColumnRenamed("page", "k"), "k", "m").collect()] == [(0, 4), (1, 4), (2, 2)]
     assert tiff.media_digests(make_docs(["a"]).limit(0)).count() == 0
+
+
+def test_a_damaged_file_does_not_end_the_job(spark):
+    good = tiff.encode(bytes(range(64)) * 8, page_rows=4)
+    rows = [(1, good), (2, b"no image"), (3, good[: len(good) // 2]), (4, None), (5, good)]
+    found = tiff.read_pages(spark.createDataFrame(rows, "id int, media binary"), "id", "media").collect()
+    assert sorted((r["id"], r["page"]) for r in found if r["error"] is None and r["id"] in (1, 5)) == [(1, 0), (1, 1), (5, 0), (5, 1)]
+    assert [r["id"] for r in found if r["error"] is not None and r["page"] is None] == [2, 3]
