@@ -8,15 +8,15 @@ LINES = r"""
 WITH d AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
 e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM d),
 w AS (SELECT doc_id, i, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM e),
-l AS (SELECT doc_id, i, line, len(ws) >= 10 AS long, array_to_string(ws, ' ') AS norm, CAST(doc_id AS HUGEINT) * 1000000000 + i AS place FROM w),
-f AS (SELECT array_to_string(ws, ' ') AS norm, any_value(ws) AS ws, len(any_value(ws)) AS n, min(CAST(doc_id AS HUGEINT) * 1000000000 + i) AS first FROM w WHERE len(ws) >= 10 GROUP BY 1),
-v AS (SELECT norm, n, first, k, md5(array_to_string(list_concat(ws[1:k - 1], ws[k + 1:]), ' ')) AS var FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM f) q),
+l AS (SELECT doc_id, i, line, len(ws) > 0 AS worded, array_to_string(ws, ' ') AS norm, CAST(doc_id AS HUGEINT) * 1000000000 + i AS place FROM w),
+f AS (SELECT array_to_string(ws, ' ') AS norm, any_value(ws) AS ws, len(any_value(ws)) AS n, min(CAST(doc_id AS HUGEINT) * 1000000000 + i) AS first FROM w WHERE len(ws) > 0 GROUP BY 1),
+v AS (SELECT norm, n, first, k, md5(array_to_string(list_concat(ws[1:k - 1], ws[k + 1:]), ' ')) AS var FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM f WHERE n >= 10) q),
 same AS (SELECT k, n, var, min(first) AS least FROM v GROUP BY ALL),
 near AS (
   SELECT DISTINCT v.norm FROM v JOIN same s ON s.k = v.k AND s.n = v.n AND s.var = v.var WHERE s.least < v.first
-  UNION SELECT v.norm FROM v JOIN f ON md5(f.norm) = v.var AND f.n = v.n - 1 WHERE f.first < v.first
-  UNION SELECT f.norm FROM v JOIN f ON md5(f.norm) = v.var AND f.n = v.n - 1 WHERE v.first < f.first),
-m AS (SELECT l.*, l.long AND (l.norm IN (SELECT norm FROM near) OR l.place > f.first) AS gone FROM l LEFT JOIN f ON l.long AND f.norm = l.norm),
+  UNION SELECT v.norm FROM v JOIN f ON md5(f.norm) = v.var AND f.n = v.n - 1 AND f.n >= 10 WHERE f.first < v.first
+  UNION SELECT f.norm FROM v JOIN f ON md5(f.norm) = v.var AND f.n = v.n - 1 AND f.n >= 10 WHERE v.first < f.first),
+m AS (SELECT l.*, l.worded AND (l.norm IN (SELECT norm FROM near) OR l.place > f.first) AS gone FROM l LEFT JOIN f ON l.worded AND f.norm = l.norm),
 t AS (SELECT doc_id, count(*) FILTER (gone) AS n_dropped, COALESCE(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.ls) AS BIGINT) AS n_lines, CAST(COALESCE(t.n_dropped, 0) AS BIGINT) AS n_dropped, CAST(length(COALESCE(t.kept, '')) AS BIGINT) AS kept_chars, md5(COALESCE(t.kept, '')) AS kept_md5
 FROM d LEFT JOIN t ON t.doc_id = d.doc_id
@@ -28,19 +28,16 @@ def _host(url: str) -> str:
 
 
 def _rank(name: str, a: str, b: str, weight: str, rounds: int, damping: float) -> list[str]:
-    """Tables ``name_0`` to ``name_rounds``: a step of propagation along edges from ``a`` to ``b`` each."""
-    out = [
-        f"{name}_base AS (SELECT host, CAST({weight} AS DOUBLE) / greatest(sum({weight}) OVER (), 1) AS base FROM seeds WHERE {weight} > 0)",
+    """A table ``name`` (host, score): what the seeds get and, round by round, what is passed on along edges from ``a`` to ``b``."""
+    return [
         f"{name}_share AS (SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {a}) AS share FROM edges)",
-        f"{name}_0 AS (SELECT host, base AS score FROM {name}_base)",
+        f"{name}_walk(k, host, score) AS (SELECT 0, host, {1 - damping} * CAST({weight} AS DOUBLE) / greatest(sum({weight}) OVER (), 1) FROM seeds WHERE {weight} > 0"
+        f" UNION ALL SELECT k + 1, b, sum(share * {damping} * score) FROM {name}_walk JOIN {name}_share ON a = host WHERE k < {rounds} GROUP BY k, b)",
+        f"{name} AS (SELECT host, sum(score) AS score FROM {name}_walk GROUP BY host)",
     ]
-    for k in range(1, rounds + 1):
-        got = f"SELECT b AS host, sum(share * score) AS got FROM {name}_share JOIN {name}_{k - 1} s ON s.host = a GROUP BY b"
-        out.append(f"{name}_{k} AS (SELECT COALESCE(g.host, t.host) AS host, {damping} * COALESCE(got, 0) + {1 - damping} * COALESCE(base, 0) AS score FROM ({got}) g FULL JOIN {name}_base t ON t.host = g.host)")
-    return out
 
 
-def urls(rounds: int = 12, damping: float = 0.85) -> str:
+def urls(rounds: int = 150, damping: float = 0.85) -> str:
     fits = " ".join(
         f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{{{k}}}'" for k, r in enumerate(sorted(RULES, key=lambda r: -len(str(r))))
     )
@@ -60,8 +57,8 @@ def urls(rounds: int = 12, damping: float = 0.85) -> str:
         *_rank("distrust", "dst", "src", "bad", rounds, damping),
     ]
     return (
-        f"WITH {', '.join(tables)} SELECT r.page_id, r.host, r.path, r.rule, COALESCE(r.ruled, CASE WHEN COALESCE(d.score, 0) > COALESCE(t.score, 0) THEN 'block' ELSE 'allow' END) AS verdict"
-        f" FROM r LEFT JOIN trust_{rounds} t ON t.host = r.host LEFT JOIN distrust_{rounds} d ON d.host = r.host"
+        f"WITH RECURSIVE {', '.join(tables)} SELECT r.page_id, r.host, r.path, r.rule, COALESCE(r.ruled, CASE WHEN COALESCE(d.score, 0) > COALESCE(t.score, 0) THEN 'block' ELSE 'allow' END) AS verdict"
+        f" FROM r LEFT JOIN trust t ON t.host = r.host LEFT JOIN distrust d ON d.host = r.host"
     )
 
 

@@ -27,7 +27,7 @@ def rule_of(host, path):
     return best
 
 
-def rank(edges, seeds, rounds=12, damping=0.85):
+def rank(edges, seeds, rounds=200, damping=0.85):
     total = sum(seeds.values()) or 1
     base = {h: w / total for h, w in seeds.items() if w}
     if not edges:
@@ -92,5 +92,27 @@ def test_against_brute_force(spark):
     assert next(r for r in found if r["host"] == "deep.net")["verdict"] == "allow"
 
 
+def test_scores_reach_far_hosts(spark):
+    rows = [(k, f"http://h{k}.net/", f'<a href="http://h{k + 1}.net/">x</a>', "h", 1.0) for k in range(30)] + [(30, "http://h30.net/", '<a href="http://x.com/">x</a>', "h", 1.0), (31, "http://x.com/de/1", None, "h", 1.0)]
+    found = {r["page_id"]: r["verdict"] for r in u.judge_urls(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {k: "block" for k in range(32)}
+
+
+def test_sql_on_a_linked_graph(spark):
+    import duckdb
+
+    from quarry.llm.oracles import urls
+
+    link = lambda *hosts: " ".join(f'<a href="http://{h}/x">l</a>' for h in hosts)
+    rows = [(k, f"http://h{k % 9}.{'org' if k % 4 == 0 else 'com' if k % 3 else 'net'}/{'de' if k % 5 == 0 else 'x'}/{k}", link(f"h{k * 7 % 9}.org", f"h{k * 5 % 9}.com", f"h{k % 8}.net"), "h", 1.0) for k in range(60)]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    con = duckdb.connect()
+    con.register("pages", pages.select("page_id", "url", "html").toPandas())
+    want = con.execute(urls()).fetchall()
+    found = [tuple(r) for r in u.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict").collect()]
+    assert sorted(found, key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+    assert {r[4] for r in found if r[3] is None} == {"allow", "block"}
+
+
 def test_empty_table(spark):
     assert u.judge_urls(spark.createDataFrame([], SCHEMA)).count() == 0
