@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from quarry.llm import sharding as s
 
@@ -54,3 +56,90 @@ def test_reruns_agree_and_empty(make_docs, odd_texts):
     assert one == two
     assert s.shard_documents(docs.limit(0)).count() == 0
     run(make_docs(["a", "a", None, "b"], ids=[None, 1, 1, 1]), 4)
+
+
+def tie_hash(grp, shard):
+    out = xxhash.xxh64_intdigest(struct.pack("<i", shard), seed=xxhash.xxh64_intdigest(grp, seed=42))
+    return out - (1 << 64) if out >> 63 else out
+
+
+def brute_rounds(state, quotas, rounds, fits):
+    """The rounds on a dictionary (group, shard) -> members; yields the links cut after each."""
+    shards = len(quotas)
+    for k in range(rounds):
+        load = [sum(n for (_, at), n in state.items() if at == x) for x in range(shards)]
+        free = [q - n for q, n in zip(quotas, load, strict=True)]
+        of = defaultdict(list)
+        for (g, at), n in state.items():
+            of[g].append((n, tie_hash(g, at), at))
+        asked = defaultdict(list)
+        for g, parts in of.items():
+            size, before, homes, away = sum(p[0] for p in parts), 0, [], []
+            large = size > fits
+            parts.sort(key=lambda p: (not large and k % 2 and free[p[2]] > 0, *p), reverse=True)
+            for place, (n, _, at) in enumerate(parts):
+                if before < size if large and k % 2 else place < -(-size // fits):
+                    homes += [at] if not (large and k % 2) or free[at] > 0 else []
+                else:
+                    away.append((place, n, at))
+                before += n + free[at]
+            for place, n, at in away if homes else []:
+                asked[at, homes[place % len(homes)]].append((63 - (n.bit_length() - 1), hash_bucket(g), g, n))
+        for pair, may in s.grants({key: sum(x[3] for x in v) for key, v in asked.items()}, free).items():
+            for _, _, g, n in sorted(asked[pair]):
+                go = min(n, may)
+                may -= go
+                for at, change in ((pair[0], -go), (pair[1], go)):
+                    state[g, at] = state.get((g, at), 0) + change
+        state = {key: n for key, n in state.items() if n}
+        yield state
+
+
+def hash_bucket(grp):
+    out = xxhash.xxh64_intdigest(grp, seed=42)
+    return (out - (1 << 64) if out >> 63 else out) % s.LEAST_BUCKETS
+
+
+def cut(state):
+    """Pairs of linked documents in different shards, of the groups that fit one."""
+    of = defaultdict(list)
+    for (g, _), n in state.items():
+        if g != b"hot":
+            of[g].append(n)
+    return sum(sum(v) ** 2 - sum(n * n for n in v) for v in of.values()) // 2
+
+
+def test_propagation_against_brute_force(spark):
+    rows = [(f"g{k % 90}".encode(), k * 977) for k in range(700)] + [(b"hot", -k) for k in range(300)]
+    linked = spark.createDataFrame(rows, "grp binary, spread long")
+    first = s.first_labels(linked, 12)
+    state = {(bytes(r["grp"]), r["shard"]): r["n"] for r in first.collect()}
+    quotas, cuts = [90] * 12, [cut(state)]
+    for rounds, want in enumerate(brute_rounds(state, quotas, 4, 80), 1):
+        found = s.label_rounds(first, quotas, rounds, 80, moved := [])
+        assert {(bytes(r["grp"]), r["shard"]): r["n"] for r in found.collect()} == want
+        cuts.append(cut(want))
+    assert moved[0] > 100 and cuts[1] < cuts[0] and cuts[-1] < cuts[0] * 0.6, (moved, cuts)
+    kept = s.propagate(first, s.shard_quotas(1008, 12), 4).collect()
+    load = Counter()
+    for r in kept:
+        load[r["shard"]] += r["n"]
+    assert sum(load.values()) == 1000 and max(load.values()) <= 84
+
+
+def test_the_rounds_decide(make_docs):
+    texts = [f"single {k}" for k in range(300)] + [f"group {k % 60}" for k in range(240)]
+    together = []
+    for rounds in (0, s.ROUNDS):
+        where = defaultdict(set)
+        for r in s.shard_documents(make_docs(texts), 10, rounds).collect():
+            where[texts[r["doc_id"]]].add(r["shard"])
+        together.append(sum(len(where[f"group {k}"]) == 1 for k in range(60)))
+    assert together[0] < 10 and together[1] > 50
+
+
+def test_equal_rows_are_dealt_out(make_docs):
+    docs = make_docs(["same"] * 300 + [None] * 100, ids=[None] * 300 + [7] * 100)
+    out = run(docs, 400, 8)
+    again = run(docs.repartition(3), 400, 8)
+    assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in out) == Counter((r["doc_id"], r["shard"], r["slot"]) for r in again)
