@@ -40,12 +40,13 @@ def object_signatures(facts: DataFrame) -> DataFrame:
 
 
 def alias_census(nodes: DataFrame, facts: DataFrame) -> DataFrame:
-    """``checked, may, no`` over all pairs i < j, without making them: pairs of equal sets are counted by class, others
-    by pairs of classes that share an object."""
+    """``checked, may, no`` over all pairs i < j: pairs of equal sets are counted by class, others by pairs of classes that
+    share an object, each made once, at the least object that they share, and summed at once."""
     sig = object_signatures(facts.join(nodes, "node", "left_semi"))
     classes = settle(sig.groupBy("sig").agg(F.count("*").alias("n"), F.first("objs").alias("objs")), "classes")
-    each = classes.select("sig", "n", F.explode("objs").alias("obj"))
-    across = each.join(each.select(F.col("sig").alias("sig2"), F.col("n").alias("n2"), "obj"), "obj").where("sig < sig2").select("sig", "sig2", "n", "n2").distinct()
+    each = classes.select("sig", "n", "objs", F.explode("objs").alias("obj"))
+    others = each.select(F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("objs").alias("objs2"), "obj")
+    across = each.join(others, "obj").where((F.col("sig") < F.col("sig2")) & (F.array_min(F.array_intersect("objs", "objs2")) == F.col("obj")))
     own = classes.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("own"))
     other = across.agg(F.coalesce(F.sum(F.col("n") * F.col("n2")), F.lit(0)).alias("other"))
     total = nodes.select("node").distinct().agg(F.expr("count(*) * (count(*) - 1) div 2").cast("long").alias("checked"))
@@ -55,13 +56,25 @@ def alias_census(nodes: DataFrame, facts: DataFrame) -> DataFrame:
 def load_store_census(loads: DataFrame, stores: DataFrame, facts: DataFrame) -> DataFrame:
     """``checked, may, no`` over all pairs of loads and stores (``inst, ptr``), counted by pointer."""
     l, s = (d.groupBy("ptr").agg(F.count("*").alias(n)) for d, n in ((loads, "nl"), (stores, "ns")))  # noqa: E741
-    f = facts.select(F.col("node").alias("ptr"), "obj").distinct()
-    met = l.join(f, "ptr").select(F.col("ptr").alias("lp"), "nl", "obj").join(s.join(f, "ptr").select(F.col("ptr").alias("sp"), "ns", "obj"), "obj").select("lp", "sp", "nl", "ns").distinct()
+    asked = l.select("ptr").union(s.select("ptr")).distinct()
+    sets = settle(facts.select(F.col("node").alias("ptr"), "obj").join(asked, "ptr", "left_semi").groupBy("ptr").agg(F.collect_set("obj").alias("objs")), "pointer-sets")
+    one, two = (d.join(sets, "ptr").select(n, F.col("objs").alias(o), F.explode("objs").alias("obj")) for d, n, o in ((l, "nl", "x"), (s, "ns", "y")))
+    # A pair of pointers counts at the least object that they share.
+    met = one.join(two, "obj").where(F.array_min(F.array_intersect("x", "y")) == F.col("obj"))
     may = met.agg(F.coalesce(F.sum(F.col("nl") * F.col("ns")), F.lit(0)).cast("long").alias("may"))
     both = loads.agg(F.count("*").alias("a")).join(stores.agg(F.count("*").alias("b")))
     return both.join(may).select((F.col("a") * F.col("b")).alias("checked"), "may", (F.col("a") * F.col("b") - F.col("may")).alias("no"))
 
 
+def dynamic_census(asked: DataFrame, seen: DataFrame) -> DataFrame:
+    """``checked, may, no`` over all pairs of the loads and the stores in ``asked``: those seen together may alias. Only seen
+    pairs are made."""
+    loads, stores = asked.select("load").distinct(), asked.select("store").distinct()
+    met = seen.select("load", "store").distinct().join(loads, "load", "left_semi").join(stores, "store", "left_semi")
+    both = loads.agg(F.count("*").alias("a")).join(stores.agg(F.count("*").alias("b"))).join(met.agg(F.count("*").alias("may")))  # one row each
+    return both.select((F.col("a") * F.col("b")).alias("checked"), "may", (F.col("a") * F.col("b") - F.col("may")).alias("no"))
+
+
 def dynamic_alias(pairs: DataFrame, seen: DataFrame, static: DataFrame) -> DataFrame:
     """``load, store, answer``: a load that was never seen answers false; one with an unknown store asks ``static``
     (``load, store``); else whether the store was seen."""

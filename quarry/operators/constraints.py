@@ -6,9 +6,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from quarry.plans.fixpoint import reachable
+from quarry.plans.tables import ranked
 from quarry.sources.logs import AGGREGATE_ID, INT_ID, NULL_ID, UNIVERSAL_ID
 
 COPY, LOAD, STORE, ADDRESS = 0, 1, 2, 3
@@ -21,26 +21,36 @@ def row(ctype: int, src: Column | int, dest: Column | int, offs: Column | int =
 
 
 def from_instructions(instructions: DataFrame, return_base: int, object_base: int) -> DataFrame:
-    """Rows of ``instructions`` (``inst, fn, op, dst, a, b, k, is_ptr``).
-
-    ret: value to the function's return node. alloca: a fresh object. load/store: int results and values go through the
-    int node. gep: a copy with a field offset. inttoptr: from the traced pointer b, or the int node if b is -1. cast:
-    a copy; phi, select: both values. extract/insert go through the aggregate node. vaarg isn't supported and raises.
+    """Rows of ``instructions`` (``inst, fn, op, dst, a, b, k, is_ptr, value_type, pointee``, and ``more`` of a phi).
+
+    ``value_type`` is that of the value loaded, stored, taken out or put in: ptr, int, float or struct; ``pointee`` is what
+    the address is declared to point to. ret: value to the function's return node. alloca: a fresh object. load: of a
+    pointer; an int loaded through a pointer to pointers makes a load from the instruction's own id into the int node.
+    store: of a pointer, or of the int node if an int goes where no int is declared; floats and structs make none. gep: a
+    copy with a field offset. inttoptr: from the traced pointer b, or the int node if b is -1. cast: a copy; select: both
+    values; phi: a, b and all of ``more``. extract/insert of pointers and ints go through the aggregate node. vaarg isn't
+    supported and raises.
     """
     a, b, dst, ptr = F.col("a"), F.col("b"), F.col("dst"), F.col("is_ptr")
     none = F.array().cast("array<struct<ctype:int,src:int,dest:int,offs:int>>")
-    op = F.col("op")
+    op, kind = F.col("op"), F.col("value_type")
+    moved = kind.isin("ptr", "int")
+    no_ids = F.array().cast("array<int>")
+    more = F.coalesce(F.col("more"), no_ids) if "more" in instructions.columns else no_ids
     rows = (
         F.when((op == "ret") & ptr, F.array(row(COPY, a, F.col("fn") + return_base)))
-        .when(op == "alloca", F.array(row(ADDRESS, F.col("inst") % 1000 + object_base, dst)))
-        .when(op == "load", F.array(row(LOAD, a, F.when(ptr, dst).otherwise(F.lit(INT_ID)))))
-        .when(op == "store", F.array(row(STORE, F.when(ptr, a).otherwise(F.lit(INT_ID)), b)))
+        .when(op == "alloca", F.array(row(ADDRESS, F.col("inst") + object_base, dst)))
+        .when((op == "load") & (kind == "ptr"), F.array(row(LOAD, a, dst)))
+        .when((op == "load") & (kind == "int") & (F.col("pointee") == "ptr"), F.array(row(LOAD, dst, INT_ID)))
+        .when((op == "store") & (kind == "ptr"), F.array(row(STORE, a, b)))
+        .when((op == "store") & (kind == "int") & (F.col("pointee") != "int"), F.array(row(STORE, INT_ID, b)))
         .when(op == "gep", F.array(row(COPY, a, dst, F.col("k"))))
         .when((op == "bitcast") & ptr, F.array(row(COPY, a, dst)))
         .when((op == "inttoptr"), F.array(row(COPY, F.when(b == -1, F.lit(INT_ID)).otherwise(b), dst)))
-        .when(op.isin("phi", "select") & ptr, F.array(row(COPY, a, dst), row(COPY, b, dst)))
-        .when(op == "extract", F.array(row(COPY, AGGREGATE_ID, F.when(ptr, dst).otherwise(F.lit(INT_ID)))))
-        .when(op == "insert", F.array(row(COPY, F.when(ptr, a).otherwise(F.lit(INT_ID)), AGGREGATE_ID)))
+        .when((op == "select") & ptr, F.array(row(COPY, a, dst), row(COPY, b, dst)))
+        .when((op == "phi") & ptr, F.transform(F.concat(F.array(a, b), more), lambda x: row(COPY, x, dst)))
+        .when((op == "extract") & moved, F.array(row(COPY, AGGREGATE_ID, F.when(kind == "ptr", dst).otherwise(F.lit(INT_ID)))))
+        .when((op == "insert") & moved, F.array(row(COPY, F.when(kind == "ptr", a).otherwise(F.lit(INT_ID)), AGGREGATE_ID)))
         .when(op == "vaarg", F.raise_error(F.lit("vaarg is not supported")).cast("array<struct<ctype:int,src:int,dest:int,offs:int>>"))
         .otherwise(none)
     )
@@ -119,27 +129,50 @@ def find_models(names: DataFrame, noop_names: DataFrame | None = None) -> DataFr
     return met.select("name", F.coalesce("model", by_pattern).alias("model"), F.coalesce("p0", F.lit(-1)).alias("p0"), F.coalesce("p1", F.lit(-1)).alias("p1"), "named")
 
 
-def external_calls(calls: DataFrame, models: DataFrame, named_base: int, object_base: int, phony_base: int) -> DataFrame:
-    """Rows of calls (``call_id, name, args, ret``, ret -1: no pointer) to external functions by their model."""
+#: Phony ids that a call has: three for each field of a copied struct.
+MOST_FIELDS = 8
+
+
+def external_calls(calls: DataFrame, models: DataFrame, named_base: int, object_base: int, phony_base: int, thread_params: DataFrame | None = None) -> DataFrame:
+    """Rows of calls (``call_id, name, args, ret``, ret -1: no pointer) to external functions by their model.
+
+    ``n_fields`` of a call, where there is such a column, is the number of fields of the largest struct type that a copied
+    block is used as (0: none); more than ``MOST_FIELDS`` raises. ``thread_params`` (``callee, param``) has the first
+    parameter of the functions that a thread may start with; of other start functions nothing is known.
+    """
     met = calls.join(models, "name")
+    if "n_fields" not in calls.columns:
+        met = met.withColumn("n_fields", F.lit(0))
     arg = lambda p: F.get(F.col("args"), p)
+    if thread_params is None:
+        met = met.withColumn("param", F.lit(None).cast("int"))
+    else:
+        started = thread_params.select(F.col("callee").alias("_start"), "param")
+        met = met.join(started, (F.col("model") == "thread") & (arg(2) == F.col("_start")), "left").drop("_start")
     ret, model = F.col("ret"), F.col("model")
     has = ret >= 0
     # A named object is one node for all calls: its name's place in the sorted list of names.
     names = sorted({m[4] for m in EXACT_MODELS if m[4]})
     named = F.lit(named_base) + F.array_position(F.array(*map(F.lit, names)), F.coalesce("named", F.lit(""))).cast("int")
-    load_all = F.transform("args", lambda x, i: F.struct(F.lit(LOAD).alias("ctype"), F.lit(UNIVERSAL_ID).alias("src"), x.alias("dest"), F.lit(0).alias("offs")))
+    none = F.array().cast("array<struct<ctype:int,src:int,dest:int,offs:int>>")
+    # Whatever an unknown function gets or gives is loaded into the universal node.
+    into_universal = F.transform(F.when(has, F.array_append("args", ret)).otherwise(F.col("args")), lambda x: row(LOAD, x, UNIVERSAL_ID))
     fresh = F.col("call_id") + object_base
-    phony = F.col("call_id") + phony_base
+    phony = F.col("call_id") * (3 * MOST_FIELDS) + phony_base
+    field = lambda i: F.array(row(COPY, arg(1), phony + 3 * i + 1, i), row(LOAD, phony + 3 * i + 1, phony + 3 * i), row(COPY, arg(0), phony + 3 * i + 2, i), row(STORE, phony + 3 * i, phony + 3 * i + 2))
+    too_wide = F.raise_error(F.concat(F.lit(f"a struct of more than {MOST_FIELDS} fields is copied by call "), F.col("call_id").cast("string"))).cast("array<struct<ctype:int,src:int,dest:int,offs:int>>")
     rows = (
         F.when((model == "alloc") & has, F.array(row(ADDRESS, fresh, ret)))
         .when((model.isin("return_arg", "realloc")) & has, F.array(row(COPY, arg(F.col("p0")), ret)))
         .when((model == "return_named") & has, F.array(row(COPY, named, ret)))
         .when((model == "return_arg_or_named") & has, F.array(row(COPY, named, ret), row(COPY, arg(F.col("p0")), ret)))
         .when(model == "store_args", F.array(row(STORE, arg(F.col("p0")), arg(F.col("p1")))))
-        .when(model == "memcpy", F.array(row(LOAD, arg(F.lit(1)), phony), row(STORE, phony, arg(F.lit(0)))))
-        .when(model == "unknown", F.concat(F.when(has, F.array(row(LOAD, UNIVERSAL_ID, ret))).otherwise(F.array().cast("array<struct<ctype:int,src:int,dest:int,offs:int>>")), load_all))
-        .otherwise(F.array().cast("array<struct<ctype:int,src:int,dest:int,offs:int>>"))
+        .when((model == "memcpy") & (F.col("n_fields") > MOST_FIELDS), too_wide)
+        .when((model == "memcpy") & (F.col("n_fields") > 0), F.flatten(F.transform(F.sequence(F.lit(0), F.col("n_fields") - 1), field)))
+        .when(model == "memcpy", F.array(row(LOAD, arg(1), phony), row(STORE, phony, arg(0))))
+        .when((model == "thread") & F.col("param").isNotNull(), F.array(row(COPY, arg(F.col("p0")), F.col("param"))))
+        .when(model == "unknown", into_universal)
+        .otherwise(none)
     )
     return met.select(F.explode(rows).alias("r")).select("r.*").where("src is not null and dest is not null").distinct()
 
@@ -147,7 +180,9 @@ def external_calls(calls: DataFrame, models: DataFrame, named_base: int, object_
 def constant_nodes(constants: DataFrame) -> DataFrame:
     """``const, node``: null and undef are the null node, numbers the int node, expressions their own (memoised) id."""
     kinds = constants.select("const", "kind").distinct()
-    own = kinds.where(~F.col("kind").isin("null", "undef", "int", "float")).withColumn("node", F.dense_rank().over(Window.orderBy("const")) + 99_999)
+    own = kinds.where(~F.col("kind").isin("null", "undef", "int", "float"))
+    numbers = ranked(own.select("const").distinct(), ["const"], "node")
+    own = own.join(numbers, "const").select("const", "kind", (F.col("node") + 99_999).alias("node"))
     fixed = kinds.where(F.col("kind").isin("null", "undef", "int", "float"))
     fixed = fixed.withColumn("node", F.when(F.col("kind").isin("null", "undef"), F.lit(NULL_ID)).otherwise(F.lit(INT_ID)))
     return fixed.unionByName(own).select("const", "node")

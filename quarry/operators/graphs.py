@@ -57,24 +57,36 @@ def rewrite(constraints: DataFrame, classes: DataFrame) -> DataFrame:
     return kept.union(out.where(~((F.col("ctype") == COPY) & (F.col("src") == F.col("dest")) & (F.col("offs") == 0)))).distinct()
 
 
-def reduce_constraints(constraints: DataFrame, stop_at: int = 100, max_loops: int = 10) -> DataFrame:
-    """Value numbering by unions and rewriting, until a loop removes at most ``stop_at`` rows."""
+def reduce_constraints(constraints: DataFrame, stop_at: int = 100, max_loops: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Value numbering by unions and rewriting, until a loop removes at most ``stop_at`` rows.
+
+    The second table, ``node, rep``, says which node's facts each one has; -1: it has none. Objects can be merged as well, so
+    the rows left must be solved with it (``solve(reps=...)``).
+    """
+    reps = None
     out = settle(constraints.select("ctype", "src", "dest", "offs").distinct(), "hu")
     before = out.count()
     for _ in range(max_loops):
         plain = (F.col("ctype") == COPY) & (F.col("offs") == 0)
         edges = out.where(plain).select("src", "dest")
         objects = out.where(F.col("ctype") == ADDRESS).select(F.col("src").alias("node"))
+        if reps is not None:  # what stands for an object can be written through pointers as well
+            objects = objects.union(objects.join(reps, "node").select(F.col("rep").alias("node")))
         held = out.where(~plain).select(F.col("dest").alias("node")).union(out.where(F.col("ctype") == 2).select(F.col("src").alias("node")))
         nodes = out.select(F.col("src").alias("node")).union(out.select(F.col("dest").alias("node"))).distinct()
         special = nodes.where(F.col("node") <= 3)
         classes = value_numbers(nodes, edges, held.union(objects).union(special).distinct(), unions=True)
         out = settle(rewrite(out, classes), "hu")
+        own = classes.select("node", F.col("cls").alias("rep"))
+        if reps is not None:  # through this loop's classes of the earlier representatives
+            now = classes.select(F.col("node").alias("at"), F.col("cls").alias("now"))
+            own = reps.join(now, F.col("rep") == F.col("at"), "left").select("node", F.coalesce("now", "rep").alias("rep"))
+        reps = settle(own, "hu-reps")
         after = out.count()
         if before - after <= stop_at:
-            return out
+            break
         before = after
-    return out
+    return out, reps
 
 
 def call_edges(calls: DataFrame, targets: DataFrame) -> DataFrame:
@@ -88,6 +100,12 @@ def call_site_edges(sites: DataFrame) -> DataFrame:
     return sites.select(F.col("cs").alias("src"), "callee").join(inner, "callee").select("src", "dest").distinct()
 
 
+def with_virtual_main(edges: DataFrame, sites: DataFrame, main_fn: int, main_cs: int) -> DataFrame:
+    """Call-site edges (``src, dest``) and those from a virtual call of main, ``main_cs``, to the sites (``cs, fn``) in it."""
+    own = sites.where(F.col("fn") == main_fn).select(F.lit(main_cs).cast("int").alias("src"), F.col("cs").alias("dest"))
+    return edges.select("src", "dest").union(own).distinct()
+
+
 def call_destinations(sites: DataFrame, profiled: DataFrame, facts: DataFrame, function_objects: DataFrame, used: DataFrame) -> DataFrame:
     """``cs, fn``: direct, profiled, or any used function whose object the callee pointer may hold."""
     direct = sites.where("direct_fn >= 0").select("cs", F.col("direct_fn").alias("fn"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from quarry.plans.fixpoint import closure, reachable
+from quarry.plans.tables import ranked
 from quarry.sources.logs import joined, prefixes
 
 
@@ -64,8 +64,7 @@ def all_predecessors(local: DataFrame, callers: DataFrame) -> DataFrame:
 
 def intern(stacks: DataFrame) -> DataFrame:
     """``stack_id, stack``: a number for each distinct stack, by its whole sequence."""
-    one = Window.orderBy("stack")  # over distinct stacks; the number is their rank
-    return stacks.select("stack").distinct().withColumn("stack_id", F.row_number().over(one))
+    return ranked(stacks.select("stack").distinct(), ["stack"], "stack_id")
 
 
 def dependence(instructions: DataFrame, idom_terminators: DataFrame, load_stores: DataFrame, call_returns: DataFrame, actuals: DataFrame, control: bool = True) -> DataFrame:
@@ -103,11 +102,16 @@ def slices(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return fixpoint(start, lambda new, _: new.join(dep, F.col("inst") == F.col("at")).select("slice_id", F.col("src").alias("inst")))
 
 
+def seeds_of_function(instructions: DataFrame, fn: int) -> DataFrame:
+    """All instructions of a function, such as main, as seeds."""
+    return instructions.where(F.col("fn") == fn).select("fn", "inst").distinct()
+
+
 def pick_seeds(instructions: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` pseudo-random instructions, a function first: the least hash of each function, then the least of those."""
-    order = F.xxhash64(F.lit(seed), "fn", "inst")
+    order = F.md5(F.concat_ws(" ", F.lit(seed), "fn", "inst"))
     per_fn = instructions.groupBy("fn").agg(F.min_by("inst", order).alias("inst"))
-    return per_fn.orderBy(F.xxhash64(F.lit(seed + 1), "fn")).limit(n)
+    return per_fn.orderBy(F.md5(F.concat_ws(" ", F.lit(seed + 1), "fn"))).limit(n)
 
 
 def slice_cost(members: DataFrame, instructions: DataFrame, counts: DataFrame, binary: bool = False) -> DataFrame:

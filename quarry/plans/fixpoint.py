@@ -47,11 +47,16 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def least_label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node, label``: the least node from which each can be reached, itself included."""
+    """``node, label``: the least node from which each can be reached, itself included.
+
+    A round takes the least label of the predecessors and then that label's own label, so long chains shrink by halves.
+    """
     labels = settle(nodes.select("node", F.col("node").alias("label")), "labels")
     while True:
         sent = labels.join(edges, F.col("node") == F.col("src")).groupBy("dest").agg(F.min("label").alias("got"))
-        moved = settle(labels.join(sent, F.col("node") == F.col("dest"), "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("got", "label")).alias("label")), "labels")
+        least = labels.join(sent, F.col("node") == F.col("dest"), "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("got", "label")).alias("label"))
+        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("next"))
+        moved = settle(least.join(jump, F.col("label") == F.col("at")).select("node", "old", F.least("label", "next").alias("label")), "labels")
         labels = moved.select("node", "label")
         if moved.where("label <> old").isEmpty():
             return labels
@@ -61,16 +66,21 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, rep``: the least node of each one's strong component, by colouring.
 
     Forward least labels colour the graph; the nodes of a colour that reach its origin back are the origin's component.
-    They are taken out, and the rest is coloured anew. Nodes without edges on one side go first: they are alone.
+    They are taken out, and the rest is coloured anew. Nodes without edges on one side go first, again and again while
+    there are many of them: they are alone.
     """
     left, es = settle(nodes.select("node").distinct(), "scc-nodes"), settle(edges.select("src", "dest").where("src <> dest").distinct(), "scc-edges")
     done: list[DataFrame] = []
     while not left.isEmpty():
-        inner = left.join(es.select(F.col("src").alias("node")).distinct(), "node", "left_semi").join(es.select(F.col("dest").alias("node")).distinct(), "node", "left_semi")
-        inner = settle(inner, "scc-inner")
+        inner, many = left, left.count()
+        while True:
+            within = inner.join(es.select(F.col("src").alias("node")).distinct(), "node", "left_semi").join(es.select(F.col("dest").alias("node")).distinct(), "node", "left_semi")
+            inner = settle(within, "scc-inner")
+            es, before, many = settle(_within(es, inner), "scc-edges"), many, inner.count()
+            if not many or many > 0.9 * before:
+                break
         done.append(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("rep")))
-        es = settle(_within(es, inner), "scc-edges")
-        if inner.isEmpty():
+        if not many:
             break
         labels = least_label(inner, es)
         same = es.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dest"), F.col("label").alias("b")), "dest").where("a = b")
@@ -108,6 +118,13 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _union(out) if out else left.withColumn("level", F.lit(0))
 
 
+def levels_from(start: DataFrame, edges: DataFrame, back: bool = False) -> DataFrame:
+    """``node, level`` of the nodes that ``start`` reaches, in topological order from there; ``back`` walks edges backwards."""
+    along = edges.select(F.col("dest").alias("src"), F.col("src").alias("dest")) if back else edges.select("src", "dest")
+    seen = settle(reachable(start, along), "topo-seen")
+    return levels(seen, _within(along, seen))
+
+
 def dominators(entry: int, edges: DataFrame) -> DataFrame:
     """``node, idom`` of every node that ``entry`` reaches, but itself.
 

@@ -1,7 +1,8 @@
 """Registered queries over the driver's tables, each with its SQL oracle where SQL can express it.
 
-Inputs are projections of the tables into program relations, written once in SQL that both engines read. Ids are taken
-modulo fixed numbers: that shapes the relations and drops no rows from a query's table.
+Inputs are projections of the tables into program relations, written once in SQL that both engines read. They take whole
+tables, and ids grow with them; where ids are taken modulo a number (blocks of a function, threads, kinds), that shapes a
+relation and drops no row. A condition stands only where it is what a relation says (used blocks, marked nodes, frees).
 """
 
 from __future__ import annotations
@@ -36,19 +37,19 @@ def query(sql: str | None = None, **relations: str):
 # Program relations.
 COUNTS = "SELECT CAST(l_suppkey AS INT) AS bb, CAST(l_quantity AS BIGINT) AS cnt FROM {lineitem}"
 CALLS_SEEN = "SELECT CAST(o_custkey AS INT) AS call, CAST(l_suppkey AS INT) AS fn FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey"
-PTS_SEEN = "SELECT CAST(l_partkey % 700 AS INT) AS val, CAST(CASE WHEN l_suppkey % 97 = 0 THEN 2 WHEN l_suppkey % 31 = 0 THEN -1 WHEN l_suppkey % 29 = 0 THEN 0 ELSE l_suppkey + 3 END AS INT) AS obj FROM {lineitem} WHERE l_linenumber = 1"
-ALIAS_SEEN = "SELECT CAST(l_partkey % 900 AS INT) AS load, CAST(CASE WHEN l_suppkey % 53 = 0 THEN 2 WHEN l_suppkey % 19 = 0 THEN 0 ELSE l_suppkey % 40 + 3 END AS INT) AS store FROM {lineitem}"
+PTS_SEEN = "SELECT CAST(l_partkey AS INT) AS val, CAST(CASE WHEN l_suppkey % 97 = 0 AND l_linenumber = 1 THEN 2 WHEN l_suppkey % 31 = 0 THEN -1 WHEN l_suppkey % 29 = 0 THEN 0 ELSE l_suppkey + 3 END AS INT) AS obj FROM {lineitem}"
+ALIAS_SEEN = "SELECT CAST(l_partkey AS INT) AS load, CAST(CASE WHEN l_suppkey % 53 = 0 AND l_linenumber = 1 THEN 2 WHEN l_suppkey % 19 = 0 THEN 0 ELSE l_suppkey + 3 END AS INT) AS store FROM {lineitem}"
 ORDER_SITES = "SELECT l_orderkey, l_linenumber, CAST(l_suppkey AS INT) AS cs FROM {lineitem}"
-EDGES = "SELECT DISTINCT CAST(l_partkey % 300 AS INT) AS src, CAST((l_suppkey * 7 + l_linenumber) % 300 AS INT) AS dest FROM {lineitem} WHERE l_linenumber = 1 AND l_quantity < 3"
-SPARSE = "SELECT DISTINCT CAST(s_suppkey % 500 AS INT) AS src, CAST((s_suppkey * 13 + 5) % 500 AS INT) AS dest FROM {supplier} UNION SELECT DISTINCT CAST(c_custkey * 3 % 500 AS INT), CAST(c_custkey * 7 % 500 AS INT) FROM {customer} WHERE c_acctbal < -600"
+EDGES = "SELECT DISTINCT CAST(l_orderkey AS INT) AS src, CAST(FLOOR((l_orderkey + l_linenumber) / 3) AS INT) AS dest FROM {lineitem}"
+SPARSE = "SELECT DISTINCT CAST(s_suppkey AS INT) AS src, CAST(s_suppkey * 2 + 5 AS INT) AS dest FROM {supplier} UNION SELECT DISTINCT CAST(c_custkey AS INT), CAST(FLOOR(c_custkey * 2 / 3) AS INT) FROM {customer}"
 DAG = f"SELECT src, dest FROM ({SPARSE}) d WHERE src < dest"
-CONS = "SELECT DISTINCT CAST((l_orderkey * 7 + l_linenumber) % 4 AS INT) AS ctype, CAST(l_partkey % 200 + 4 AS INT) AS src, CAST((l_suppkey * 2) % 200 + 4 AS INT) AS dest, 0 AS rep, 0 AS offs FROM {lineitem} WHERE l_orderkey % 40 = 0"
-LAYERED = "SELECT DISTINCT CAST(CASE WHEN l_linenumber = 1 THEN 3 WHEN l_linenumber = 2 THEN 1 WHEN l_linenumber = 3 THEN 2 ELSE 0 END AS INT) AS ctype, CAST(l_partkey % 90 + 4 AS INT) AS src, CAST(l_partkey % 90 + 14 + l_suppkey % 40 AS INT) AS dest, 0 AS rep, CAST(CASE WHEN l_linenumber = 7 THEN l_suppkey % 3 ELSE 0 END AS INT) AS offs FROM {lineitem} WHERE l_quantity < 2 AND l_linenumber IN (1, 2, 3, 4, 7) AND l_partkey % 50 < 12"
-ALLOCS = "SELECT DISTINCT CAST(p_partkey % 90 + 4 AS INT) AS obj, CAST(p_partkey % 90 % 3 AS INT) AS max_offs FROM {part}"
-FACTS = "SELECT DISTINCT CAST(l_partkey % 1500 AS INT) AS node, CAST(l_suppkey % 400 + 4 AS INT) AS obj FROM {lineitem} WHERE l_linenumber <= 2"
-VALUES = "SELECT DISTINCT CAST(p_partkey % 1500 AS INT) AS id, p_brand AS value_key FROM {part}"
-INSTS = "SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS inst, CAST(l_suppkey % 60 AS INT) AS fn, CAST(l_suppkey % 60 * 20 + l_partkey % 20 AS INT) AS bb, CASE (l_partkey + l_linenumber) % 11 WHEN 0 THEN 'ret' WHEN 1 THEN 'alloca' WHEN 2 THEN 'load' WHEN 3 THEN 'store' WHEN 4 THEN 'gep' WHEN 5 THEN 'bitcast' WHEN 6 THEN 'phi' WHEN 7 THEN 'select' WHEN 8 THEN 'inttoptr' WHEN 9 THEN 'extract' ELSE 'insert' END AS op, CAST(l_orderkey % 800 + 10 AS INT) AS dst, CAST(l_partkey % 800 + 10 AS INT) AS a, CAST(CASE WHEN l_partkey % 5 = 0 THEN -1 ELSE l_suppkey % 800 + 10 END AS INT) AS b, CAST(l_partkey % 4 AS INT) AS k, (l_quantity < 40) AS is_ptr FROM {lineitem}"
-SITES = "SELECT DISTINCT CAST(l_partkey % 1000 AS INT) AS cs, CAST(l_partkey % 1000 % 70 AS INT) AS fn, CAST(l_partkey % 1000 * 3 % 70 AS INT) AS callee FROM {lineitem}"
+CONS = "SELECT DISTINCT CAST((l_orderkey * 7 + l_linenumber) % 4 AS INT) AS ctype, CAST(CASE WHEN l_partkey % 50 = 0 THEN l_suppkey * 8 + 4 ELSE l_orderkey * 8 + l_partkey % 8 + 4 END AS INT) AS src, CAST(l_orderkey * 8 + (l_suppkey + l_linenumber) % 8 + 4 AS INT) AS dest, 0 AS rep, 0 AS offs FROM {lineitem}"
+LAYERED = "SELECT DISTINCT CAST(CASE WHEN l_linenumber = 1 THEN 3 WHEN l_linenumber = 2 THEN 1 WHEN l_linenumber = 3 THEN 2 ELSE 0 END AS INT) AS ctype, CAST(l_orderkey * 16 + 4 + CASE WHEN l_linenumber = 1 THEN l_partkey % 3 * 3 ELSE l_partkey % 10 END AS INT) AS src, CAST(l_orderkey * 16 + 4 + (l_suppkey + l_linenumber) % 10 AS INT) AS dest, 0 AS rep, CAST(CASE WHEN l_linenumber >= 6 THEN l_suppkey % 3 ELSE 0 END AS INT) AS offs FROM {lineitem}"
+ALLOCS = "SELECT DISTINCT CAST(l_orderkey * 16 + 4 + l_partkey % 3 * 3 AS INT) AS obj, CAST(l_partkey % 3 AS INT) AS max_offs FROM {lineitem}"
+FACTS = "SELECT DISTINCT CAST(l_orderkey AS INT) AS node, CAST(l_partkey + 4 AS INT) AS obj FROM {lineitem}"
+VALUES = "SELECT CAST(o_orderkey AS INT) AS id, CAST(o_custkey AS INT) AS value_key FROM {orders}"
+INSTS = "SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS inst, CAST(l_suppkey AS INT) AS fn, CAST(l_suppkey * 20 + l_partkey % 20 AS INT) AS bb, CASE (l_partkey + l_linenumber) % 11 WHEN 0 THEN 'ret' WHEN 1 THEN 'alloca' WHEN 2 THEN 'load' WHEN 3 THEN 'store' WHEN 4 THEN 'gep' WHEN 5 THEN 'bitcast' WHEN 6 THEN 'phi' WHEN 7 THEN 'select' WHEN 8 THEN 'inttoptr' WHEN 9 THEN 'extract' ELSE 'insert' END AS op, CAST(l_orderkey + 10 AS INT) AS dst, CAST(l_partkey + 10 AS INT) AS a, CAST(CASE WHEN l_partkey % 5 = 0 THEN -1 ELSE l_suppkey + 10 END AS INT) AS b, CAST(l_partkey % 4 AS INT) AS k, (l_quantity < 40) AS is_ptr, CASE WHEN l_quantity < 40 THEN 'ptr' WHEN l_orderkey % 3 = 0 THEN 'int' WHEN l_orderkey % 3 = 1 THEN 'float' ELSE 'struct' END AS value_type, CASE l_suppkey % 3 WHEN 0 THEN 'ptr' WHEN 1 THEN 'int' ELSE 'struct' END AS pointee FROM {lineitem}"
+SITES = "SELECT DISTINCT CAST(l_partkey AS INT) AS cs, CAST(FLOOR(l_partkey / 10) AS INT) AS fn, CAST(FLOOR((l_partkey * 3 + 7) / 20) AS INT) AS callee FROM {lineitem}"
 EVENTS = "SELECT CAST(user_id % 8 AS BIGINT) AS thread, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'store' WHEN event_id % 17 = 1 THEN 'free' ELSE 'load' END AS kind, CAST(event_id % 501 AS BIGINT) AS id, CAST(user_id * 4 AS BIGINT) AS addr, CAST(event_id % 6 + 1 AS BIGINT) AS size FROM {events}"
 VISITS = "SELECT CAST(user_id % 8 AS BIGINT) AS thread, event_id AS seq, 'visit' AS kind, CAST(user_id % 200 AS BIGINT) AS id, CAST(0 AS BIGINT) AS addr, CAST(0 AS BIGINT) AS size FROM {events}"
 ALLOC_EVENTS = "SELECT CAST(0 AS BIGINT) AS thread, event_id AS seq, CASE WHEN event_id % 5 = 0 THEN 'free' ELSE 'malloc' END AS kind, event_id AS id, CAST(user_id * 1024 AS BIGINT) AS addr, CAST(event_id % 900 + 1 AS BIGINT) AS size FROM {events} WHERE event_id % 2 = 0"
@@ -120,6 +121,32 @@ def slice_seed_log(rel):
     return logs.read_seeds(logs.write_seeds(rel(EDGES).select(F.col("src").alias("fcn_num"), F.col("dest").alias("inst_num"))))
 
 
+@query(f"SELECT DISTINCT CAST(unnest(string_split(stack, ' ')) AS INT) AS id, stack FROM ({STACKS_SQL}) s")
+def stacks_by_id(rel):
+    return logs.stacks_by_id(_stacks(rel)).select("id", logs.joined("stack").alias("stack"))
+
+
+@query(f"SELECT stack FROM ({STACKS_SQL}) s INTERSECT SELECT '0 ' || CAST(l_suppkey AS VARCHAR) FROM lineitem")
+def stacks_equal_to_prefix(rel):
+    asked = rel(ORDER_SITES).select(F.array(F.lit(0), "cs").alias("stack"))
+    return logs.equal_to_prefix(_stacks(rel), asked).select(logs.joined("stack").alias("stack"))
+
+
+NUMBERED = "SELECT DISTINCT CAST(dense_rank() OVER (ORDER BY fn) - 1 AS INT) AS fcn_num, CAST(dense_rank() OVER (PARTITION BY fn ORDER BY inst) - 1 AS INT) AS inst_num, inst FROM i"
+
+
+@query(f"SELECT n.fcn_num, n.inst_num, n.inst FROM ({NUMBERED}) n JOIN (SELECT DISTINCT s_nationkey AS f, s_suppkey % 50 AS k FROM supplier) s ON s.f = n.fcn_num AND s.k = n.inst_num", i=INSTS)
+def seed_instructions(rel):
+    lines = logs.write_seeds(rel("SELECT DISTINCT s_nationkey AS fcn_num, s_suppkey % 50 AS inst_num FROM {supplier}"))
+    return logs.seed_instructions(logs.read_seeds(lines), rel(INSTS))
+
+
+@query("SELECT CAST(call AS VARCHAR) || ': ' || string_agg(CAST(fn AS VARCHAR), ' ' ORDER BY fn) AS value FROM (SELECT call, fn FROM a UNION SELECT load, store FROM b) d GROUP BY call", a=CALLS_SEEN, b=ALIAS_SEEN)
+def merged_into_log(rel):
+    run = rel(ALIAS_SEEN).select(F.col("load").alias("call"), F.col("store").alias("fn"))
+    return logs.merge_into(lines_of(rel(CALLS_SEEN), "call", "fn"), run, "call", "fn")
+
+
 @query("SELECT t.n, string_agg(COALESCE(p_name, CAST(t.id AS VARCHAR)), ' ' ORDER BY t.at) AS value FROM (SELECT o_orderkey AS n, 0 AS at, o_custkey AS id FROM orders UNION ALL SELECT o_orderkey, 1, o_orderkey % 4001 FROM orders) t LEFT JOIN part ON p_partkey = t.id AND p_partkey % 3 <> 0 GROUP BY t.n")
 def trace_names(rel):
     listing = rel("SELECT CAST(p_partkey + 10 AS BIGINT) AS n, CONCAT(' ', CAST(p_partkey AS STRING), ': ', p_name) AS value FROM {part} WHERE p_partkey % 3 <> 0 UNION ALL SELECT 5, 'OUTPUT:' UNION ALL SELECT 2, '7: not yet'")
@@ -130,19 +157,23 @@ def trace_names(rel):
 @query(
     """SELECT DISTINCT CAST(ctype AS INT) AS ctype, CAST(src AS INT) AS src, CAST(dest AS INT) AS dest, CAST(offs AS INT) AS offs FROM (
     SELECT 0 AS ctype, a AS src, fn + 5000 AS dest, 0 AS offs FROM i WHERE op = 'ret' AND is_ptr
-    UNION ALL SELECT 3, inst % 1000 + 9000, dst, 0 FROM i WHERE op = 'alloca'
-    UNION ALL SELECT 1, a, CASE WHEN is_ptr THEN dst ELSE 1 END, 0 FROM i WHERE op = 'load'
-    UNION ALL SELECT 2, CASE WHEN is_ptr THEN a ELSE 1 END, b, 0 FROM i WHERE op = 'store'
+    UNION ALL SELECT 3, inst + 9000000, dst, 0 FROM i WHERE op = 'alloca'
+    UNION ALL SELECT 1, a, dst, 0 FROM i WHERE op = 'load' AND value_type = 'ptr'
+    UNION ALL SELECT 1, dst, 1, 0 FROM i WHERE op = 'load' AND value_type = 'int' AND pointee = 'ptr'
+    UNION ALL SELECT 2, a, b, 0 FROM i WHERE op = 'store' AND value_type = 'ptr'
+    UNION ALL SELECT 2, 1, b, 0 FROM i WHERE op = 'store' AND value_type = 'int' AND pointee <> 'int'
     UNION ALL SELECT 0, a, dst, k FROM i WHERE op = 'gep'
     UNION ALL SELECT 0, a, dst, 0 FROM i WHERE op IN ('bitcast', 'phi', 'select') AND is_ptr
     UNION ALL SELECT 0, b, dst, 0 FROM i WHERE op IN ('phi', 'select') AND is_ptr
+    UNION ALL SELECT 0, a + 1, dst, 0 FROM i WHERE op = 'phi' AND is_ptr AND k >= 2 UNION ALL SELECT 0, a + 2, dst, 0 FROM i WHERE op = 'phi' AND is_ptr AND k = 3
     UNION ALL SELECT 0, CASE WHEN b = -1 THEN 1 ELSE b END, dst, 0 FROM i WHERE op = 'inttoptr'
-    UNION ALL SELECT 0, 3, CASE WHEN is_ptr THEN dst ELSE 1 END, 0 FROM i WHERE op = 'extract'
-    UNION ALL SELECT 0, CASE WHEN is_ptr THEN a ELSE 1 END, 3, 0 FROM i WHERE op = 'insert') u""",
+    UNION ALL SELECT 0, 3, CASE WHEN value_type = 'ptr' THEN dst ELSE 1 END, 0 FROM i WHERE op = 'extract' AND value_type IN ('ptr', 'int')
+    UNION ALL SELECT 0, CASE WHEN value_type = 'ptr' THEN a ELSE 1 END, 3, 0 FROM i WHERE op = 'insert' AND value_type IN ('ptr', 'int')) u""",
     i=INSTS,
 )
 def instruction_constraints(rel):
-    return cons.from_instructions(rel(INSTS), 5000, 9000)
+    more = F.when(F.col("k") == 3, F.array(F.col("a") + 1, F.col("a") + 2)).when(F.col("k") == 2, F.array(F.col("a") + 1))
+    return cons.from_instructions(rel(INSTS).withColumn("more", more), 5000, 9_000_000)
 
 
 @query("SELECT DISTINCT c.ctype, c.src + f AS src, c.dest + f AS dest, c.offs FROM c CROSS JOIN generate_series(0, 3) AS g(f) WHERE f <= CASE WHEN c.ctype = 3 THEN 0 ELSE c.src % 4 END", c="SELECT CAST(ctype AS INT) AS ctype, CAST(src AS INT) AS src, CAST(dest AS INT) AS dest, CAST(offs AS INT) AS offs FROM (" + CONS + ") x")
@@ -152,7 +183,7 @@ def typed_constraints(rel):
     return cons.typed(c.select("ctype", "src", "dest", "offs", "type"), fields).distinct()
 
 
-USED = "SELECT DISTINCT CAST(l_suppkey * 5 % 500 AS INT) AS bb FROM {lineitem} WHERE l_quantity < 45 UNION SELECT 1"
+USED = "SELECT DISTINCT CAST(l_suppkey * 5 + l_linenumber % 3 AS INT) AS bb FROM {lineitem} UNION SELECT 1"
 
 
 @query("WITH RECURSIVE r(node) AS (SELECT bb FROM used WHERE bb < 25 UNION SELECT e.dest FROM r JOIN edges e ON e.src = r.node JOIN used u ON u.bb = e.dest) SELECT node, 'used' AS kind FROM r UNION SELECT e.dest, 'boundary' FROM r JOIN edges e ON e.src = r.node WHERE e.dest NOT IN (SELECT bb FROM used)", edges=SPARSE, used=USED)
@@ -169,13 +200,13 @@ def reachable_blocks(rel):
 )
 def call_constraints(rel):
     calls = rel("SELECT CAST(l_orderkey AS INT) AS call_id, CAST(l_orderkey % 100 AS INT) AS fn, transform(array_sort(collect_list(struct(l_linenumber, CAST(l_partkey AS INT) AS p))), x -> x.p) AS args, CAST(l_orderkey % 3000 + 5000 AS INT) AS ret FROM {lineitem} GROUP BY l_orderkey")
-    functions = rel("SELECT DISTINCT CAST(s_suppkey % 90 AS INT) AS fn FROM {supplier}")
+    functions = rel("SELECT DISTINCT CAST(l_orderkey % 100 AS INT) AS fn FROM {lineitem} WHERE l_orderkey % 100 < 90")
     functions = functions.selectExpr("fn", "slice(transform(sequence(0, 3), i -> CAST(fn % 50 * 10 + 1000 + i AS INT)), 1, fn % 4) AS params", "fn % 50 * 10 + 1009 AS ret_node", "CASE WHEN fn % 2 = 0 THEN fn % 50 * 10 + 1008 ELSE -1 END AS vararg")
     return cons.direct_calls(calls, functions)
 
 
 CALL_SITES = "SELECT CAST(o_orderkey AS INT) AS call_id, CAST(o_custkey AS INT) AS callee, CAST(CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 40 ELSE -1 END AS INT) AS direct_fn FROM {orders}"
-SITE_TARGETS = "SELECT DISTINCT CAST(l_orderkey AS INT) AS call_id, CAST(l_suppkey % 40 AS INT) AS fn FROM {lineitem} WHERE l_linenumber = 3"
+SITE_TARGETS = "SELECT DISTINCT CAST(l_orderkey AS INT) AS call_id, CAST(l_suppkey % 40 AS INT) AS fn FROM {lineitem}"
 
 
 @query("SELECT DISTINCT s.call_id, CASE WHEN direct_fn >= 0 THEN direct_fn ELSE COALESCE(t.fn, -1) END AS fn, CASE WHEN direct_fn >= 0 THEN 'direct' WHEN t.fn IS NOT NULL THEN 'profiled' ELSE 'deferred' END AS how FROM s LEFT JOIN t ON t.call_id = s.call_id", s=CALL_SITES, t=SITE_TARGETS)
@@ -183,22 +214,27 @@ def resolved_calls(rel):
     return cons.resolve_calls(rel(CALL_SITES), rel(SITE_TARGETS))
 
 
-LIB_CALLS = "SELECT CAST(p_partkey AS INT) AS call_id, CASE p_partkey % 9 WHEN 0 THEN 'malloc' WHEN 1 THEN 'strchr' WHEN 2 THEN 'llvm.memcpy.p0' WHEN 3 THEN 'strtol' WHEN 4 THEN 'nobody_knows' WHEN 5 THEN 'atoi' WHEN 6 THEN 'llvm.memset.p0' WHEN 7 THEN 'freopen' ELSE 'realloc' END AS name, CAST(p_size + 10 AS INT) AS a0, CAST(p_partkey % 77 + 10 AS INT) AS a1, CAST(p_partkey % 55 + 10 AS INT) AS a2, CAST(CASE WHEN p_partkey % 4 = 0 THEN -1 ELSE p_partkey % 66 + 100 END AS INT) AS ret FROM {part}"
+LIB_CALLS = "SELECT CAST(p_partkey AS INT) AS call_id, CASE p_partkey % 14 WHEN 0 THEN 'malloc' WHEN 1 THEN 'strchr' WHEN 2 THEN 'llvm.memcpy.p0' WHEN 3 THEN 'strtol' WHEN 4 THEN 'nobody_knows' WHEN 5 THEN 'atoi' WHEN 6 THEN 'llvm.memset.p0' WHEN 7 THEN 'freopen' WHEN 8 THEN 'pthread_create' WHEN 9 THEN 'gettext' WHEN 10 THEN 'localtime' WHEN 11 THEN 'fclose' WHEN 12 THEN 'opendir' ELSE 'realloc' END AS name, CAST(p_size + 10 AS INT) AS a0, CAST(p_partkey % 77 + 10 AS INT) AS a1, CAST(p_partkey % 55 + 10 AS INT) AS a2, CAST(p_partkey % 33 + 10 AS INT) AS a3, CAST(CASE WHEN p_partkey % 4 = 0 THEN -1 ELSE p_partkey % 66 + 100 END AS INT) AS ret, CAST(p_size % 4 AS INT) AS n_fields FROM {part}"
+THREAD_PARAMS = "SELECT CAST(s_suppkey + 10 AS INT) AS callee, CAST(s_suppkey * 3 + 700 AS INT) AS param FROM {supplier} WHERE s_suppkey % 2 = 0"
 
 
 @query(
-    """SELECT DISTINCT CAST(ctype AS INT) AS ctype, CAST(src AS INT) AS src, CAST(dest AS INT) AS dest, CAST(0 AS INT) AS offs FROM (
-    SELECT 3 AS ctype, call_id + 100000 AS src, ret AS dest FROM c WHERE name = 'malloc' AND ret >= 0
-    UNION ALL SELECT 0, CASE WHEN name = 'freopen' THEN a2 ELSE a0 END, ret FROM c WHERE name IN ('strchr', 'freopen', 'realloc') AND ret >= 0
-    UNION ALL SELECT 1, a1, call_id + 500000 FROM c WHERE name = 'llvm.memcpy.p0' UNION ALL SELECT 2, call_id + 500000, a0 FROM c WHERE name = 'llvm.memcpy.p0'
-    UNION ALL SELECT 2, a0, a1 FROM c WHERE name = 'strtol'
-    UNION ALL SELECT 1, 2, ret FROM c WHERE name = 'nobody_knows' AND ret >= 0
-    UNION ALL SELECT 1, 2, a0 FROM c WHERE name = 'nobody_knows' UNION ALL SELECT 1, 2, a1 FROM c WHERE name = 'nobody_knows' UNION ALL SELECT 1, 2, a2 FROM c WHERE name = 'nobody_knows') u""",
-    c=LIB_CALLS,
-)
+    """SELECT DISTINCT CAST(ctype AS INT) AS ctype, CAST(src AS INT) AS src, CAST(dest AS INT) AS dest, CAST(offs AS INT) AS offs FROM (
+    SELECT 3 AS ctype, call_id + 100000000 AS src, ret AS dest, 0 AS offs FROM c WHERE name IN ('malloc', 'opendir') AND ret >= 0
+    UNION ALL SELECT 0, CASE WHEN name = 'freopen' THEN a2 ELSE a0 END, ret, 0 FROM c WHERE name IN ('strchr', 'freopen', 'realloc', 'gettext') AND ret >= 0
+    UNION ALL SELECT 0, CASE WHEN name = 'gettext' THEN 50006 ELSE 50003 END, ret, 0 FROM c WHERE name IN ('gettext', 'localtime') AND ret >= 0
+    UNION ALL SELECT 1, a1, call_id * 24 + 200000000, 0 FROM c WHERE name = 'llvm.memcpy.p0' AND n_fields = 0 UNION ALL SELECT 2, call_id * 24 + 200000000, a0, 0 FROM c WHERE name = 'llvm.memcpy.p0' AND n_fields = 0
+    UNION ALL SELECT 0, a1, call_id * 24 + 200000001 + 3 * i, i FROM m UNION ALL SELECT 1, call_id * 24 + 200000001 + 3 * i, call_id * 24 + 200000000 + 3 * i, 0 FROM m
+    UNION ALL SELECT 0, a0, call_id * 24 + 200000002 + 3 * i, i FROM m UNION ALL SELECT 2, call_id * 24 + 200000000 + 3 * i, call_id * 24 + 200000002 + 3 * i, 0 FROM m
+    UNION ALL SELECT 2, a0, a1, 0 FROM c WHERE name = 'strtol'
+    UNION ALL SELECT 0, a3, t.param, 0 FROM c JOIN t ON t.callee = a2 WHERE name = 'pthread_create'
+    UNION ALL SELECT 1, ret, 2, 0 FROM c WHERE name = 'nobody_knows' AND ret >= 0
+    UNION ALL SELECT 1, unnest([a0, a1, a2, a3]), 2, 0 FROM c WHERE name = 'nobody_knows') u""",
+    c=LIB_CALLS, t=THREAD_PARAMS, m="SELECT call_id, a0, a1, unnest(range(n_fields)) AS i FROM (" + LIB_CALLS + ") x WHERE name = 'llvm.memcpy.p0' AND n_fields > 0",
+)
 def external_constraints(rel):
-    calls = rel(LIB_CALLS).select("call_id", "name", F.array("a0", "a1", "a2").alias("args"), "ret")
-    return cons.external_calls(calls, cons.find_models(calls), 50_000, 100_000, 500_000)
+    calls = rel(LIB_CALLS).select("call_id", "name", F.array("a0", "a1", "a2", "a3").alias("args"), "ret", "n_fields")
+    return cons.external_calls(calls, cons.find_models(calls), 50_000, 100_000_000, 200_000_000, rel(THREAD_PARAMS))
 
 
 CONTEXTS = "SELECT DISTINCT CAST(n_nationkey AS INT) AS ctx, CAST(n_regionkey AS INT) AS fn FROM {nation}"
@@ -216,7 +252,7 @@ def constraint_census(rel):
 
 
 GLOBALS = "SELECT CAST(c_custkey AS INT) AS g FROM {customer}"
-INITS = "SELECT CAST(o_custkey AS INT) AS g, CAST(o_orderkey AS INT) AS value FROM {orders} WHERE o_orderstatus = 'F'"
+INITS = "SELECT CAST(o_custkey AS INT) AS g, CAST(o_orderkey AS INT) AS value FROM {orders}"
 
 
 @query("SELECT 3 AS ctype, g + 100000 AS src, g AS dest, 0 AS offs FROM g UNION SELECT 2, i.value, i.g, 0 FROM i JOIN g ON g.g = i.g UNION SELECT 3, 2, 2, 0 UNION SELECT 2, 2, 2, 0", g=GLOBALS, i=INITS)
@@ -246,6 +282,11 @@ def points_to(rel):
     return pointsto.solve(rel(CONS))[0]
 
 
+@query(_points_sql() + " SELECT a AS node, b AS obj FROM f WHERE k = 'P'", cons=CONS)
+def points_to_collapsing(rel):
+    return pointsto.solve(rel(CONS), collapse_every=3)[0]
+
+
 @query(_points_sql(True) + " SELECT a AS node, b AS obj FROM f WHERE k = 'P'", cons=LAYERED, allocs=ALLOCS)
 def points_to_fields(rel):
     return pointsto.solve(rel(LAYERED), settle(rel(ALLOCS)))[0]
@@ -257,8 +298,8 @@ def points_to_counts(rel):
     return pointsto.result_counts(facts, copies)
 
 
-FN_OBJECTS = "SELECT CAST(n_nationkey * 8 + 4 AS INT) AS obj, CAST(n_nationkey * 4 + 300 AS INT) AS p0, CAST(n_nationkey * 4 + 301 AS INT) AS p1, CAST(n_nationkey * 4 + 302 AS INT) AS ret_node FROM {nation}"
-INDIRECT = "SELECT DISTINCT CAST(s_suppkey * 3 % 200 + 4 AS INT) AS callee, CAST(s_suppkey % 200 + 4 AS INT) AS a0, CAST(s_suppkey * 5 % 200 + 4 AS INT) AS a1, CAST(s_suppkey * 11 % 200 + 4 AS INT) AS ret FROM {supplier} WHERE s_suppkey < 60"
+FN_OBJECTS = "SELECT CAST(n_nationkey * 8 + 4 AS INT) AS obj, CAST(n_nationkey * 8 + 5 AS INT) AS p0, CAST(n_nationkey * 8 + 6 AS INT) AS p1, CAST(n_nationkey * 8 + 7 AS INT) AS ret_node FROM {nation}"
+INDIRECT = "SELECT DISTINCT CAST(s_suppkey * 8 + 4 AS INT) AS callee, CAST(s_suppkey * 8 + 5 AS INT) AS a0, CAST(s_suppkey * 16 + 6 AS INT) AS a1, CAST(s_suppkey * 24 + 7 AS INT) AS ret FROM {supplier}"
 
 
 @query(
@@ -282,6 +323,11 @@ def set_size_histogram(rel):
     return pointsto.size_histogram(rel(FACTS), "node").select(F.col("size").cast("long"), "n")
 
 
+@query("SELECT CAST(count(*) AS BIGINT) AS tracked, CAST(sum(n) AS BIGINT) AS total, max(n) AS largest, count(*) FILTER (n = (SELECT max(c) FROM (SELECT count(*) AS c FROM f GROUP BY node) y)) AS n_largest FROM (SELECT node, count(*) AS n FROM f GROUP BY node) s", f=FACTS)
+def set_size_summary(rel):
+    return pointsto.size_summary(rel(FACTS), "node")
+
+
 # Graphs.
 @query(f"WITH RECURSIVE {CLOSURE_SQL} SELECT DISTINCT src, dest FROM tc", edges=EDGES)
 def transitive_closure(rel):
@@ -304,6 +350,19 @@ def topological_levels(rel):
     return fixpoint.levels(_nodes(edges), edges)
 
 
+LEVELS_SQL = "WITH RECURSIVE s(node) AS (SELECT CAST({start} AS INT) UNION SELECT e.{b} FROM s JOIN edges e ON e.{a} = s.node), lv(node, level) AS (SELECT CAST({start} AS INT), 0 UNION SELECT e.{b}, lv.level + 1 FROM lv JOIN edges e ON e.{a} = lv.node) SELECT node, CAST(max(level) AS INT) AS level FROM lv GROUP BY node"
+
+
+@query(LEVELS_SQL.format(start=1, a="src", b="dest"), edges=DAG)
+def levels_from_node(rel):
+    return fixpoint.levels_from(rel("SELECT 1 AS node"), settle(rel(DAG)))
+
+
+@query(LEVELS_SQL.format(start=25, a="dest", b="src"), edges=DAG)
+def levels_back_from_node(rel):
+    return fixpoint.levels_from(rel("SELECT 25 AS node"), settle(rel(DAG)), back=True)
+
+
 @query("SELECT DISTINCT caller AS src, fn AS dest FROM c JOIN t ON t.call_id = c.call_id", c="SELECT CAST(o_orderkey AS INT) AS call_id, CAST(o_custkey % 40 AS INT) AS caller FROM {orders}", t=SITE_TARGETS)
 def call_graph(rel):
     return graphs.call_edges(rel("SELECT CAST(o_orderkey AS INT) AS call_id, CAST(o_custkey % 40 AS INT) AS caller FROM {orders}"), rel(SITE_TARGETS))
@@ -314,6 +373,12 @@ def call_site_graph(rel):
     return graphs.call_site_edges(rel(SITES))
 
 
+@query("SELECT DISTINCT a.cs AS src, b.cs AS dest FROM s a JOIN s b ON b.fn = a.callee UNION SELECT -1, cs FROM s WHERE fn = 3", s=SITES)
+def call_site_graph_from_main(rel):
+    sites = settle(rel(SITES))
+    return graphs.with_virtual_main(graphs.call_site_edges(sites), sites, 3, -1)
+
+
 SMALL = "SELECT DISTINCT CAST(n_nationkey % 13 AS INT) AS src, CAST((n_nationkey * 5 + n_regionkey) % 13 AS INT) AS dest FROM {nation}"
 
 
@@ -322,9 +387,9 @@ def acyclic_paths(rel):
     return fixpoint.acyclic_paths(0, settle(rel(SMALL)), 20).select(logs.joined("path").alias("path"))
 
 
-CD_SITES = "SELECT CAST(c_custkey AS INT) AS cs, CAST(c_custkey % 1500 AS INT) AS callee, CAST(CASE WHEN c_nationkey = 0 THEN c_custkey % 50 ELSE -1 END AS INT) AS direct_fn FROM {customer}"
+CD_SITES = "SELECT CAST(c_custkey AS INT) AS cs, CAST(c_custkey AS INT) AS callee, CAST(CASE WHEN c_nationkey = 0 THEN c_custkey % 50 ELSE -1 END AS INT) AS direct_fn FROM {customer}"
 CD_PROFILED = "SELECT DISTINCT CAST(o_custkey AS INT) AS cs, CAST(o_orderkey % 50 AS INT) AS fn FROM {orders} WHERE o_custkey % 4 = 1"
-CD_OBJECTS = "SELECT DISTINCT CAST(s_suppkey % 400 + 4 AS INT) AS obj, CAST(s_suppkey % 50 AS INT) AS fn FROM {supplier}"
+CD_OBJECTS = "SELECT CAST(p_partkey + 4 AS INT) AS obj, CAST(p_partkey % 50 AS INT) AS fn FROM {part}"
 CD_USED = "SELECT DISTINCT CAST(s_suppkey % 50 AS INT) AS fn FROM {supplier} WHERE s_suppkey % 50 < 35"
 
 
@@ -343,7 +408,7 @@ def function_callers(rel):
     return rel(SITES).groupBy(F.col("callee").alias("fn")).agg(F.countDistinct("cs").alias("n_callers"))
 
 
-DOM = "SELECT DISTINCT CAST(CASE WHEN l_partkey % 40 = 0 THEN 0 ELSE l_partkey % 40 END AS INT) AS src, CAST((l_partkey % 40 + 1 + l_suppkey % 17) % 80 AS INT) AS dest FROM {lineitem} WHERE l_partkey % 7 <> 3 AND l_quantity < 3"
+DOM = "SELECT DISTINCT CAST(l_partkey % 40 AS INT) AS src, CAST(l_partkey % 40 + 1 + l_suppkey * 7 % (3 + l_partkey % 40 % 3) AS INT) AS dest FROM {lineitem}"
 
 
 @query("WITH RECURSIVE seen(node) AS (SELECT CAST(0 AS INT) UNION SELECT e.dest FROM seen s JOIN edges e ON e.src = s.node), av(d, n) AS (SELECT node, CAST(0 AS INT) FROM seen WHERE node <> 0 UNION SELECT a.d, e.dest FROM av a JOIN edges e ON e.src = a.n WHERE e.dest <> a.d), dom AS (SELECT a.node AS d, b.node AS n FROM seen a JOIN seen b ON a.node <> b.node ANTI JOIN av ON av.d = a.node AND av.n = b.node), depth AS (SELECT n AS d, count(*) AS c FROM dom GROUP BY n) SELECT n AS node, arg_max(dom.d, COALESCE(c, 0)) AS idom FROM dom LEFT JOIN depth ON depth.d = dom.d GROUP BY n", edges=DOM)
@@ -359,7 +424,7 @@ def edited_graph(rel):
     return graphs.edit(edges, added, loops, nodes.where("node % 10 = 7"), nodes.where("node % 10 = 1").select("node", (F.col("node") + 1).alias("rep")))
 
 
-MARKED = "SELECT DISTINCT CAST(s_suppkey % 500 AS INT) AS node FROM {supplier} WHERE s_suppkey % 9 = 0"
+MARKED = "SELECT DISTINCT CAST(s_suppkey * 3 AS INT) AS node FROM {supplier} WHERE s_suppkey % 9 = 0"
 
 
 @query("SELECT src, dest FROM edges WHERE src NOT IN (SELECT node FROM m) AND dest NOT IN (SELECT node FROM m)", edges=SPARSE, m=MARKED)
@@ -373,7 +438,7 @@ def needed_nodes(rel):
     return graphs.needed_nodes(_nodes(edges), edges, rel(MARKED))
 
 
-@query()
+@query(f"WITH RECURSIVE {CLOSURE_SQL}, nodes AS (SELECT src AS node FROM all_edges UNION SELECT dest FROM all_edges) SELECT n.node, COALESCE(least(n.node, min(a.dest)), n.node) AS rep FROM nodes n LEFT JOIN tc a ON a.src = n.node AND EXISTS (SELECT 1 FROM tc b WHERE b.src = a.dest AND b.dest = n.node) GROUP BY n.node", all_edges=SPARSE, m=MARKED, edges="SELECT src, dest FROM all_edges WHERE src NOT IN (SELECT node FROM m) AND dest NOT IN (SELECT node FROM m)")
 def merged_unmarked_components(rel):
     edges = settle(rel(SPARSE))
     return graphs.merge_unmarked_components(_nodes(edges), edges, settle(rel(MARKED)))
@@ -412,14 +477,20 @@ def value_numbering(rel):
     return graphs.value_numbers(_nodes(rows), copies, fresh)
 
 
+@query(_points_sql() + " SELECT a AS node, b AS obj FROM f WHERE k = 'P'", cons=CONS)
+def reduced_points_to(rel):
+    rows, reps = graphs.reduce_constraints(rel(CONS))
+    return pointsto.solve(rows, reps=reps)[0]
+
+
 @query()
 def reduced_constraints(rel):
-    return graphs.reduce_constraints(rel(CONS))
+    return graphs.reduce_constraints(rel(CONS))[0]
 
 
 # Clients.
-ASKED = "SELECT DISTINCT CAST(o_custkey % 1500 AS INT) AS p, CAST(o_orderkey % 1500 AS INT) AS q FROM {orders}"
-INT_POINTERS = "SELECT DISTINCT CAST(c_custkey % 1500 AS INT) AS node FROM {customer} WHERE c_nationkey = 3"
+ASKED = "SELECT DISTINCT CAST(o_custkey AS INT) AS p, CAST(o_orderkey AS INT) AS q FROM {orders}"
+INT_POINTERS = "SELECT DISTINCT CAST(c_custkey AS INT) AS node FROM {customer} WHERE c_nationkey = 3"
 MAY_SQL = "SELECT DISTINCT a.p, a.q FROM asked a JOIN f x ON x.node = a.p JOIN f y ON y.node = a.q AND y.obj = x.obj WHERE a.p NOT IN (SELECT node FROM ints) AND a.q NOT IN (SELECT node FROM ints)"
 
 
@@ -434,18 +505,18 @@ def alias_facade(rel):
     return clients.first_answer(precise, rel(ASKED).select("p", "q", F.lit(None).cast("string").alias("answer")))
 
 
-@query("SELECT DISTINCT a.node AS p, b.node AS q FROM f a JOIN f b ON a.obj = b.obj AND a.node < b.node", f="SELECT node, obj FROM (" + FACTS + ") x WHERE node < 300")
+@query("SELECT DISTINCT a.node AS p, b.node AS q FROM f a JOIN f b ON a.obj = b.obj AND a.node < b.node", f=FACTS)
 def may_alias_pairs(rel):
-    return clients.may_alias_pairs(rel("SELECT node, obj FROM (" + FACTS + ") x WHERE node < 300"))
+    return clients.may_alias_pairs(rel(FACTS))
 
 
-@query("SELECT checked, may, checked - may AS no FROM (SELECT CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS checked FROM n) c, (SELECT count(*) AS may FROM (SELECT DISTINCT a.node, b.node FROM f a JOIN f b ON a.obj = b.obj AND a.node < b.node) x(p, q)) m", n="SELECT DISTINCT CAST(p_partkey % 1500 AS INT) AS node FROM {part}", f=FACTS)
+@query("SELECT checked, may, checked - may AS no FROM (SELECT CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS checked FROM n) c, (SELECT count(*) AS may FROM (SELECT DISTINCT a.node, b.node FROM f a JOIN f b ON a.obj = b.obj AND a.node < b.node) x(p, q)) m", n="SELECT CAST(o_orderkey AS INT) AS node FROM {orders}", f=FACTS)
 def alias_census(rel):
-    return clients.alias_census(settle(rel("SELECT DISTINCT CAST(p_partkey % 1500 AS INT) AS node FROM {part}")), rel(FACTS))
+    return clients.alias_census(settle(rel("SELECT CAST(o_orderkey AS INT) AS node FROM {orders}")), rel(FACTS))
 
 
-LOADS = "SELECT inst, bb, CAST(a % 200 AS INT) AS ptr FROM (" + INSTS + ") i WHERE op = 'load'"
-STORES = "SELECT inst, bb, CAST(dst % 200 AS INT) AS ptr FROM (" + INSTS + ") i WHERE op = 'store'"
+LOADS = "SELECT inst, bb, a AS ptr FROM (" + INSTS + ") i WHERE op = 'load'"
+STORES = "SELECT inst, bb, dst AS ptr FROM (" + INSTS + ") i WHERE op = 'store'"
 
 
 @query("SELECT checked, may, checked - may AS no FROM (SELECT (SELECT count(*) FROM l) * (SELECT count(*) FROM s) AS checked) c, (SELECT CAST(COALESCE(sum(nl * ns), 0) AS BIGINT) AS may FROM (SELECT DISTINCT x.node AS lp, y.node AS sp FROM f x JOIN f y ON x.obj = y.obj) pq JOIN (SELECT ptr, count(*) AS nl FROM l GROUP BY ptr) a ON a.ptr = lp JOIN (SELECT ptr, count(*) AS ns FROM s GROUP BY ptr) b ON b.ptr = sp) m", l=LOADS, s=STORES, f=FACTS)
@@ -453,9 +524,9 @@ def load_store_census(rel):
     return clients.load_store_census(rel(LOADS), rel(STORES), rel(FACTS))
 
 
-STATIC = "SELECT DISTINCT CAST(l_partkey % 1000 AS INT) AS load, CAST(l_suppkey % 41 + 3 AS INT) AS store FROM {lineitem} WHERE l_linenumber < 4"
+STATIC = "SELECT DISTINCT CAST(l_partkey AS INT) AS load, CAST(CASE WHEN l_linenumber = 5 THEN l_suppkey + 4 ELSE l_suppkey + 3 END AS INT) AS store FROM {lineitem}"
 SEEN_CLEAN = "SELECT DISTINCT load, CASE WHEN store = 2 THEN -1 ELSE store END AS store FROM (" + ALIAS_SEEN + ") s WHERE store <> 0"
-ASKED_LS = "SELECT DISTINCT CAST(l_partkey % 1000 AS INT) AS load, CAST(l_linenumber * 5 + 3 AS INT) AS store FROM {lineitem}"
+ASKED_LS = "SELECT DISTINCT CAST(l_partkey AS INT) AS load, CAST(l_linenumber * 5 + 3 AS INT) AS store FROM {lineitem}"
 
 
 @query("SELECT a.load, a.store, CASE WHEN o.lo IS NULL THEN false WHEN o.lo = -1 THEN EXISTS (SELECT 1 FROM st WHERE st.load = a.load AND st.store = a.store) ELSE EXISTS (SELECT 1 FROM seen s WHERE s.load = a.load AND s.store = a.store) END AS answer FROM asked a LEFT JOIN (SELECT load, min(store) AS lo FROM seen GROUP BY load) o ON o.load = a.load", asked=ASKED_LS, seen=SEEN_CLEAN, st=STATIC)
@@ -463,8 +534,8 @@ def dynamic_alias(rel):
     return clients.dynamic_alias(rel(ASKED_LS), rel(SEEN_CLEAN), rel(STATIC))
 
 
-USED_LOADS = "SELECT DISTINCT CAST(p_partkey % 900 AS INT) AS load FROM {part} WHERE p_size < 40"
-USED_STORES = "SELECT DISTINCT CAST(s_suppkey % 43 AS INT) AS store FROM {supplier}"
+USED_LOADS = "SELECT DISTINCT CAST(p_partkey AS INT) AS load FROM {part} WHERE p_size < 40"
+USED_STORES = "SELECT DISTINCT CAST(s_suppkey AS INT) AS store FROM {supplier}"
 
 
 @query("SELECT count(DISTINCT load) FILTER (load NOT IN (SELECT load FROM bad)) AS good_loads, count(DISTINCT store) FILTER (store NOT IN (SELECT store FROM bad)) AS good_stores, (SELECT count(*) FROM bad) AS bad_pairs FROM real", seen=SEEN_CLEAN, st=STATIC, ul=USED_LOADS, us=USED_STORES, real="SELECT load, store FROM seen WHERE store <> -1 AND load IN (SELECT load FROM ul) AND store IN (SELECT store FROM us)", bad="SELECT load, store FROM real ANTI JOIN st USING (load, store)")
@@ -512,11 +583,17 @@ def two_pointer_smoke(rel):
 
 
 # Contexts and slices.
-PRED_EDGES = "SELECT DISTINCT CAST(l_suppkey % 60 * 20 + l_partkey % 20 AS INT) AS src, CAST(l_suppkey % 60 * 20 + l_orderkey % 20 AS INT) AS dest FROM {lineitem} WHERE l_quantity < 4 AND l_linenumber = 1"
-CALLER_BB = "SELECT DISTINCT CAST(l_partkey % 60 * 20 + l_suppkey % 20 AS INT) AS bb, CAST(l_partkey % 60 / 2 AS INT) * 20 AS caller_bb FROM {lineitem} WHERE l_quantity < 2 AND l_linenumber = 2 AND l_partkey % 60 % 2 = 0"
+PRED_EDGES = "SELECT DISTINCT CAST(l_suppkey * 20 + l_partkey % 20 AS INT) AS src, CAST(l_suppkey * 20 + l_orderkey % 20 AS INT) AS dest FROM {lineitem}"
+CALLER_BB = "SELECT DISTINCT CAST(l_suppkey * 20 + l_partkey % 20 AS INT) AS bb, CAST(FLOOR(l_suppkey / 2) * 20 + 3 AS INT) AS caller_bb FROM {lineitem}"
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {CLOSURE_SQL}, up(bb, high) AS (SELECT bb, caller_bb FROM c WHERE bb <> caller_bb UNION SELECT up.bb, c.caller_bb FROM up JOIN c ON c.bb = up.high AND c.bb <> c.caller_bb),
+    n AS (SELECT src AS bb, CAST(floor(src / 20) AS INT) AS fn FROM edges UNION SELECT dest, CAST(floor(dest / 20) AS INT) FROM edges),
+    l AS (SELECT dest AS bb, src AS pred FROM tc UNION SELECT bb, bb FROM n UNION SELECT a.bb, b.bb FROM n a JOIN n b ON b.fn = a.fn WHERE a.fn % 17 = 0)
+    SELECT bb, pred FROM l UNION SELECT up.bb, l.pred FROM up JOIN l ON l.bb = up.high""",
+    edges=PRED_EDGES, c=CALLER_BB,
+)
 def predecessor_blocks(rel):
     edges = settle(rel(PRED_EDGES))
     blocks = _nodes(edges).select(F.col("node").alias("bb"), F.floor(F.col("node") / 20).cast("int").alias("fn"))
@@ -552,11 +629,11 @@ def interned_stacks(rel):
     return slices.intern(_stacks(rel)).select(logs.joined("stack").alias("stack"), "stack_id")
 
 
-DEPS = "SELECT DISTINCT CAST(l_orderkey % 2000 AS INT) AS inst, CAST(l_partkey % 2000 AS INT) AS src FROM {lineitem} WHERE l_linenumber = 2 AND l_orderkey % 2000 > l_partkey % 2000 AND l_quantity < 25"
-SLICE_SEEDS = "SELECT CAST(n_nationkey AS BIGINT) AS slice_id, CAST(1990 - n_nationkey * 7 AS INT) AS inst FROM {nation}"
+DEPS = "SELECT DISTINCT CAST(l_orderkey * 8 + l_linenumber AS INT) AS inst, CAST(CASE WHEN l_linenumber = 1 THEN FLOOR(l_orderkey / 2) * 8 + 1 + l_partkey % 7 ELSE l_orderkey * 8 + 1 + l_partkey % (l_linenumber - 1) END AS INT) AS src FROM {lineitem}"
+SLICE_SEEDS = "SELECT CAST(n_nationkey AS BIGINT) AS slice_id, CAST((1490 - n_nationkey * 47) * 8 + 1 + n_nationkey % 7 AS INT) AS inst FROM {nation}"
 SLICE_SQL = "WITH RECURSIVE r(slice_id, inst) AS (SELECT slice_id, inst FROM seeds UNION SELECT r.slice_id, d.src FROM r JOIN deps d ON d.inst = r.inst)"
-SLICE_INSTS = "SELECT CAST(inst % 2000 AS INT) AS inst, min(fn) AS fn, min(bb) AS bb, min(op) AS op FROM (" + INSTS + ") i GROUP BY 1"
-BB_COUNTS = "SELECT CAST(user_id % 1200 AS INT) AS bb, count(*) AS cnt FROM {events} GROUP BY 1"
+SLICE_INSTS = "SELECT CAST(inst AS INT) AS inst, min(fn) AS fn, min(bb) AS bb, min(op) AS op FROM (" + INSTS + ") i GROUP BY 1"
+BB_COUNTS = "SELECT CAST(user_id AS INT) AS bb, count(*) AS cnt FROM {events} GROUP BY 1"
 
 
 def _slices(rel):
@@ -608,11 +685,21 @@ def load_store_dependences(rel):
     return slices.load_store_edges(rel(LOADS), rel(STORES), rel(FACTS), rel(PREDS))
 
 
-@query()
+@query("SELECT fn, arg_min(inst, md5('7 ' || fn || ' ' || inst)) AS inst FROM i GROUP BY fn ORDER BY md5('8 ' || fn) LIMIT 10", i=INSTS)
 def picked_seeds(rel):
     return slices.pick_seeds(rel(INSTS), 10, 7)
 
 
+@query("SELECT DISTINCT fn, inst FROM i WHERE fn = 3", i=INSTS)
+def seeds_of_main(rel):
+    return slices.seeds_of_function(rel(INSTS), 3)
+
+
+@query("SELECT checked, may, checked - may AS no FROM (SELECT (SELECT count(*) FROM (SELECT DISTINCT load FROM a) x) * (SELECT count(*) FROM (SELECT DISTINCT store FROM a) y) AS checked) c, (SELECT count(*) AS may FROM (SELECT DISTINCT s.load, s.store FROM s JOIN (SELECT DISTINCT load FROM a) x ON x.load = s.load JOIN (SELECT DISTINCT store FROM a) y ON y.store = s.store) z) m", a=ASKED_LS, s=SEEN_CLEAN)
+def dynamic_load_store_census(rel):
+    return clients.dynamic_census(rel(ASKED_LS), rel(SEEN_CLEAN))
+
+
 # Assumptions.
 SETS = "SELECT DISTINCT CAST(o_custkey AS INT) AS ptr, CAST(o_orderkey % 4 AS INT) AS obj FROM {orders}"
 DEFS = "SELECT CAST(c_custkey AS INT) AS ptr, CAST(c_custkey % 300 AS INT) AS site FROM {customer}"

@@ -6,14 +6,18 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local session without it gets one of its own;
+    on a cluster there is none to fall back on."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="quarry-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -26,6 +30,15 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add ``name``: each row's rank from 1 by ``order``, from ranges that are ranked on their own; equal rows differ."""
+    parts = settle(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_inside", inside).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_inside") + F.col("_start")).cast("int")).drop("_part", "_inside", "_start")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,6 +6,9 @@ Readers take a table of lines (``value``), as ``spark.read.text`` gives it, so a
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
+
+from quarry.plans.tables import ranked
 
 NULL_ID, INT_ID, UNIVERSAL_ID, AGGREGATE_ID, UNKNOWN = 0, 1, 2, 3, -1
 
@@ -57,6 +60,16 @@ def stack_index(stacks: DataFrame) -> DataFrame:
     return stacks.distinct().select(F.explode("stack").alias("id")).groupBy("id").agg(F.count("*").alias("n_stacks"))
 
 
+def stacks_by_id(stacks: DataFrame) -> DataFrame:
+    """``id, stack``: every distinct stack under each id that stands in it."""
+    return stacks.distinct().select(F.explode(F.array_distinct("stack")).alias("id"), "stack")
+
+
+def equal_to_prefix(stacks: DataFrame, asked: DataFrame) -> DataFrame:
+    """The distinct stacks that are, as a whole, one of the ``asked`` prefixes."""
+    return stacks.distinct().join(asked.select("stack").distinct(), "stack", "left_semi")
+
+
 def prefixes(stacks: DataFrame) -> DataFrame:
     """Every distinct prefix of a stack."""
     return stacks.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("stack")), lambda n: F.slice("stack", 1, n))).alias("stack")).distinct()
@@ -95,6 +108,23 @@ def read_seeds(lines: DataFrame) -> DataFrame:
     return lines.select(part[0].cast("int").alias("fcn_num"), part[1].cast("int").alias("inst_num"))
 
 
+def ordinals(instructions: DataFrame) -> DataFrame:
+    """``fcn_num, inst_num, inst``: functions by their order and instructions by their order in the function, from 0."""
+    functions = ranked(instructions.select("fn").distinct(), ["fn"], "fcn_num").withColumn("fcn_num", F.col("fcn_num") - 1)
+    place = F.row_number().over(Window.partitionBy("fn").orderBy("inst")) - 1
+    return instructions.select("fn", "inst").distinct().withColumn("inst_num", place).join(functions, "fn").select("fcn_num", "inst_num", "inst")
+
+
+def seed_instructions(seeds: DataFrame, instructions: DataFrame) -> DataFrame:
+    """``fcn_num, inst_num, inst``: the instructions that a file's seeds name; a seed of none is left out."""
+    return seeds.distinct().join(ordinals(instructions), ["fcn_num", "inst_num"])
+
+
+def merge_into(known: DataFrame, run: DataFrame, key: str, item: str) -> DataFrame:
+    """The lines of a log after a run's pairs have been merged into it, by key."""
+    return write_pairs(read_pairs(known, key, item).union(run.select(key, item)), key, item)
+
+
 def write_seeds(seeds: DataFrame) -> DataFrame:
     return seeds.select(F.concat_ws(" ", "fcn_num", "inst_num").alias("value"))
 

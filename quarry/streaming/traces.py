@@ -76,11 +76,11 @@ def frame_ranges(events: DataFrame) -> DataFrame:
     w = Window.partitionBy("thread").orderBy("seq")
     step = F.when(F.col("kind") == "call", 1).when(F.col("kind") == "ret", -1).otherwise(0)
     deep = events.where(F.col("kind").isin("call", "ret", "alloca")).withColumn("depth", F.sum(step).over(w))
-    allocas = deep.where("kind = 'alloca'").select("thread", "id", "addr", "size", "seq", "depth")
-    rets = deep.where("kind = 'ret'").select("thread", (F.col("depth") + 1).alias("depth"), F.col("seq").alias("end"))
-    a, r = allocas.alias("a"), rets.alias("r")
-    met = a.join(r, (F.col("a.thread") == F.col("r.thread")) & (F.col("a.depth") == F.col("r.depth")) & (F.col("end") > F.col("seq")), "left")
-    least = met.groupBy("a.thread", "id", "addr", "size", "seq").agg(F.min("end").alias("died"))
+    is_ret = F.col("kind") == "ret"
+    frames = deep.where("kind <> 'call'").withColumn("frame", F.when(is_ret, F.col("depth") + 1).otherwise(F.col("depth")))
+    later = Window.partitionBy("thread", "frame").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    died = F.first(F.when(is_ret, F.col("seq")), ignorenulls=True).over(later)
+    least = frames.withColumn("died", died).where("kind = 'alloca'")
     return least.select(F.col("id").alias("obj"), F.col("addr").alias("start"), (F.col("addr") + F.col("size")).alias("stop"), F.col("seq").alias("born"), "died")
 
 

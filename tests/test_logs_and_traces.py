@@ -88,7 +88,7 @@ def test_special_ids(spark):
     assert {tuple(r) for r in facts.collect()} == {(20, 1), (23, 30)}
     assert copies.count() == 0
     with pytest.raises(Exception, match="vaarg"):
-        inst = spark.createDataFrame([(1, 1, "vaarg", 1, 2, 3, 0, True)], "inst long, fn int, op string, dst int, a int, b int, k int, is_ptr boolean")
+        inst = spark.createDataFrame([(1, 1, "vaarg", 1, 2, 3, 0, True, "ptr", "ptr")], "inst long, fn int, op string, dst int, a int, b int, k int, is_ptr boolean, value_type string, pointee string")
         constraints.from_instructions(inst, 0, 0).collect()
 
 
