@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import SPACE_RE, settle, split_words
+from quarry.llm.common import SPACE_RE, forget, maybe_in, settle, split_words
 
 #: None of them follows a text's length, so that long clean texts look like short ones.
 FEATURES = ("mean_word", "symbols", "dup_lines", "repeats", "upper", "line_words")
@@ -200,7 +200,8 @@ def _pruned(rest: DataFrame, rule: list[Condition], all_of, settings: Settings)
     k = max(worth, key=lambda i: (worth[i], -i))
     p, n = got[f"pall{k}"], got[f"nall{k}"]
     held_p, held_n = got[f"pheld{k}"], got[f"nheld{k}"]
-    precise = p / max(1, p + n) >= settings.min_precision and held_p >= settings.min_precision * (held_p + held_n) and p >= settings.min_covered
+    proven = held_p > 0 and held_p >= settings.min_precision * (held_p + held_n)  # on rows it was not grown from
+    precise = p / max(1, p + n) >= settings.min_precision and proven and p >= settings.min_covered
     return rule[:k], precise
 
 
@@ -232,11 +233,15 @@ def quality_rules(documents: DataFrame, labels: DataFrame, settings: Settings =
 def filter_documents(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``documents`` that the learned list keeps, with all their columns.
 
-    Rules come from the labelled documents alone, so the full table is read once, to be judged row by row.
+    Rules come from the labelled documents alone; with them the full table is judged row by row, without a shuffle.
     """
-    known = labelled_rows(labels)
-    slim = documents.select("doc_id", F.col("text").alias("_text")).join(known, "doc_id")
-    rules = learn_rules(settle(with_statistics(slim, F.col("_text")).drop("_text"), "statistics"), settings)
+    known = settle(labelled_rows(labels.withColumn("doc_id", F.col("doc_id").cast("long"))), "known-labels")
+    # Texts are not shuffled: the filter takes out most documents without a label, and the statistics meet the labels.
+    slim = documents.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"))
+    slim = maybe_in(slim, F.col("doc_id"), known.select("doc_id")).where("_maybe").drop("_maybe")
+    stats = settle(with_statistics(slim, F.col("_text")).drop("_text"), "statistics")
+    rules = learn_rules(stats.join(known, "doc_id"), settings)
+    forget(stats, known)
     packed = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
     # A plain filter would be pushed below the statistics, with all their steps inlined into one expression that splits a
     # text anew for each of its words; it does not pass a column that depends on the row's place.

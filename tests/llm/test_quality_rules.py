@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -48,3 +49,36 @@ def test_empty_tables(spark, make_docs):
     docs = make_docs(["a"]).limit(0)
     assert q.quality_rules(docs, labels(spark, [])).count() == 0
     assert q.filter_documents(docs, labels(spark, [(1, 0, 0)])).count() == 0
+
+
+def statistics(spark, rows):
+    """Rows of (doc_id, bad, mean_word, symbols, upper); the other features are constant."""
+    columns = "doc_id long, bad boolean, n_words long, n_repeat_words long, mean_word double, symbols double, dup_lines double, repeats double, upper double, line_words double"
+    return spark.createDataFrame([(k, bad, 50, 0, word, symbols, 0.0, 0.0, upper, 20.0) for k, bad, word, symbols, upper in rows], columns)
+
+
+def test_conjunctions_and_several_rules(spark):
+    rng = random.Random(1)
+    rows = []
+    for k in range(1200):
+        near = lambda *at: rng.choice(at) + rng.random() * 0.05
+        upper, symbols, word = near(0.1, 0.9), near(0.1, 0.9), near(4, 6) if k % 10 else near(15)
+        rows.append((k, (upper > 0.5 and symbols > 0.5) or word > 10, word, symbols, upper))
+    rules = q.learn_rules(statistics(spark, rows))
+    assert len(rules) >= 2
+    assert any({(c.feature, c.above) for c in r} >= {("upper", True), ("symbols", True)} for r in rules)
+    assert any(("mean_word", True) in {(c.feature, c.above) for c in r} for r in rules)
+    fires = lambda r, row: all((row[c.feature] > c.threshold) == c.above for c in r)
+    fired = {True: [], False: []}
+    for _, bad, word, symbols, upper in rows:
+        row = {"mean_word": word, "symbols": symbols, "upper": upper, "dup_lines": 0.0, "repeats": 0.0, "line_words": 20.0}
+        fired[bad].append(any(fires(r, row) for r in rules))
+    assert not any(fired[False]) and sum(fired[True]) > 0.9 * len(fired[True]), [[str(c) for c in r] for r in rules]
+
+
+def test_a_rule_must_hold_on_rows_it_was_not_grown_from(spark):
+    held = {r["k"] for r in spark.range(4000).selectExpr("id AS k", "pmod(xxhash64(id), 3) = 0 AS h").where("h").collect()}
+    grown = [k for k in range(4000) if k not in held]
+    bad = set(grown[:40])  # none of the bad rows is held
+    rows = [(k, k in bad, 5.0, 0.9 + k / 1e6 if k in bad else 0.1 + k / 1e6, 0.1) for k in range(4000) if k in bad or k in held or k in grown[40:1000]]
+    assert q.learn_rules(statistics(spark, rows)) == []
