@@ -26,15 +26,15 @@ def brute(texts, ids=None, least=10):
     places = sorted((i, n, words(x)) for i, t in zip(ids, texts, strict=True) if t is not None for n, x in enumerate(t.split("\n")))
     first = {}
     for i, n, w in places:
-        if len(w) >= least:
+        if w:
             first.setdefault(tuple(w), (i, n))
-    near = {w for w, at in first.items() for v, was in first.items() if was < at and distance_at_most_one(list(w), list(v))}
+    near = {w for w, at in first.items() for v, was in first.items() if min(len(w), len(v)) >= least and was < at and distance_at_most_one(list(w), list(v))}
     out = []
     for i, t in zip(ids, texts, strict=True):
         if t is None:
             out.append(None)
             continue
-        kept = [x for n, x in enumerate(t.split("\n")) if len(w := words(x)) < least or (tuple(w) not in near and first[tuple(w)] == (i, n))]
+        kept = [x for n, x in enumerate(t.split("\n")) if not (w := words(x)) or (tuple(w) not in near and first[tuple(w)] == (i, n))]
         out.append("\n".join(kept))
     return out
 
@@ -97,17 +97,17 @@ def test_rows_that_share_an_id_are_documents_of_their_own(make_docs):
     assert sorted(out) in [sorted([*want, *x]) for x in g]
 
 
-def test_pipeline_drops_copies_of_short_lines(spark, make_docs, odd_texts):
+def test_copies_of_short_lines_go(spark, make_docs, odd_texts):
     texts = [*odd_texts, "short\n\n a  b\nlong enough " + " ".join(f"v{k}" for k in range(9)), "a b\nshort\n \na c", "one\na b c d e f g h i", "a b c d e f g h x\na b c d e f g h i"]
-    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, make_docs(texts), "").collect()}
-    seen, want = set(), []
-    for text in brute(texts):  # the edits of longer lines as before, then exact copies of any length
-        kept = []
-        for x in (text or "").split("\n"):
-            w = tuple(words(x))
-            if not w or len(w) >= 10 or w not in seen:
-                kept.append(x)
-            seen.add(w)
-        want.append(None if text is None else "\n".join(kept))
-    assert [found[k] for k in range(len(texts))] == want
-    assert found[len(odd_texts) + 1] == " \na c"
+    want = check(make_docs(texts), texts)
+    assert corpus_pipeline.lines(spark, make_docs(texts), "").where(f"doc_id = {len(odd_texts) + 1}").first()["text"] == want[len(odd_texts) + 1] == " \na c"
+
+
+def test_ids_too_far_apart_for_longs(make_docs):
+    line = " ".join(f"w{k}" for k in range(12))
+    texts, ids = [line + "\nx", "x\n" + line + " y", line.replace("w3", "q") + "\nz", line, "z"], [(1 << 63) - 1, -(1 << 63), 5, None, None]
+    rows, at = ld.numbered(make_docs(texts, ids=ids))
+    assert at.kind == "decimal(38,0)" and rows.select("_doc").distinct().count() == 5
+    out = {(r["doc_id"], r["text"]) for r in ld.dedup_lines(make_docs(texts, ids=ids)).collect()}
+    assert out == {(ids[1], texts[1]), (5, texts[2]), (ids[0], ""), (None, "")}
+    assert ld.numbered(make_docs(texts))[1].kind == "long"
