@@ -7,8 +7,9 @@ two, or two have one each and the third at most two. For the first case keys joi
 another; for the second, a codeword of one with a half of the other and a third of the last, which pigeonholes leave
 equal. The keys of those two kinds therefore meet for all links, and have 29 to 34 bits, so that few others meet.
 
-Links found in a shared key are verified on the whole fingerprints. No key's members are paired with each other: all are
-first held against the key's least member; after contraction, only members of different components are compared.
+Links found in a shared key are verified on the whole fingerprints. All members of a key are first held against its least
+one; after contraction, keys that still hold several components have their members joined in pairs, of which only those of
+different components are kept.
 
 Defined results: a null, empty or blank text has fingerprint zero, linked like any other. Rows of equal fingerprint are
 one class. Null ids are never the smallest; a component of null ids alone has a null id. Only ``doc_id`` and ``text``
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import settle
+from quarry.llm.common import maybe_in, settle
 from quarry.llm.components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (first bit, bits)
@@ -214,13 +215,20 @@ def keep_one(documents: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def keep_rows(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows that stay if ``found`` has ``doc_id``, ``text_hash`` and the component's ``root`` of each row."""
-    kept = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
-    kept = settle(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")), "kept")
+    """The rows that stay if ``found`` has ``doc_id``, ``text_hash`` and the component's ``root`` of each row.
+
+    Only rows that go, and those that stand more than once, take part in a join; the others pass by it.
+    """
+    each = settle(found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "keep-rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    kept = each.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), order).alias("k"))
+    is_kept = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))
+    marked = each.join(kept, "root").select(F.xxhash64("doc_id", "text_hash").alias("_key"), is_kept.alias("_stays"), "n")
+    touched = settle(marked.where("not _stays or n > 1").select("_key", "_stays"), "keep-touched")
     rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
-    rows = rows.withColumn("_hash", F.xxhash64("_row.text"))
-    met = rows.join(kept, F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (rows["_hash"] == kept["_hash"])).select("_row", F.col("_id"), kept["_hash"].alias("_h"))
-    again = documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    if not again:  # ids repeat: equal rows of a kept id are one document
-        met = met.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_h"))).where("_n = 1")
-    return met.select("_row.*")
+    rows = rows.withColumn("_key", F.xxhash64(F.col("_row.doc_id").cast("long"), F.xxhash64("_row.text")))
+    known = maybe_in(rows, F.col("_key"), touched.select("_key"))
+    met = known.where("_maybe").join(touched, "_key", "left").where("_stays is null or _stays")
+    # Equal rows of a kept id are one document; tasks combine them before they are shuffled.
+    one = met.where("_stays").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row")
+    return known.where("not _maybe").select("_row").union(met.where("_stays is null").select("_row")).union(one).select("_row.*")
