@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from quarry.llm import mixing as m
 
@@ -63,6 +65,57 @@ def test_report_against_brute_force(make_docs, texts):
     assert again == {k: r["taken"] for k, r in out.items()}
 
 
+def order_hash(block, seed):
+    out = xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=xxhash.xxh64_intdigest(struct.pack("<q", block), seed=42))
+    return out - (1 << 64) if out >> 63 else out
+
+
+def brute_copies(rows, settings):
+    """Copies of each of the rows (id, source, hash, size), by walking each source's blocks in their order."""
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r[1]].append(r)
+    order = sorted((s for s in by_source if s is not None)) + [None] * (None in by_source)
+    sizes = [sum(r[3] for r in by_source[s]) for s in order]
+    wanted = m.targets(sizes, [settings.weights[k % 3] for k in range(len(order))], settings.percent)
+    out = {}
+    for s, size, target in zip(order, sizes, wanted, strict=True):
+        n = settings.block_count(len(by_source[s]), len(rows))
+        blocks = defaultdict(list)
+        for r in by_source[s]:
+            blocks[r[2] % n].append(r)
+        passes, at = (int(target // size) if size else 0), 0
+        part = target - passes * size
+        for block in sorted(blocks, key=lambda b: (order_hash(b, settings.seed), b)):
+            words, run = sum(r[3] for r in blocks[block]), at
+            for r in sorted(blocks[block], key=lambda r: r[2]):
+                more = part >= at + words or run + r[3] / 2 <= part if at < part else False
+                out[r[0]] = passes + more
+                run += r[3]
+            at += words
+    return out
+
+
+def test_taken_documents_against_brute_force(make_docs, texts):
+    settings = m.Settings(rows_per_block=16, shards=8)
+    docs = make_docs(texts, [["b", None, "a"][k % 3] for k in range(len(texts))])
+    slim = [(r["doc_id"], r["_source"], r["_h"], r["size"]) for r in m.slim_rows(docs, settings).collect()]
+    found = {r["doc_id"]: len(r["shards"]) for r in m.mix_report(docs, settings).collect()}
+    want = brute_copies(slim, settings)
+    assert found == want and set(want.values()) >= {0, 1, 2}
+
+
+def test_equal_rows_are_taken_in_part(make_docs):
+    docs = make_docs(["a b c"] * 90 + ["x y"] * 90, ["s"] * 90 + ["t"] * 90, ids=[None] * 90 + list(range(90)))
+    out = m.mix_report(docs).collect()
+    taken = Counter()
+    for r in out:
+        taken[r["source_size"]] += r["taken"]
+    for r in out:
+        assert abs(taken[r["source_size"]] - r["target"]) <= 3
+    assert m.mix(docs).count() == sum(len(r["shards"]) for r in out)
+
+
 def test_mix_takes_rows_as_often_as_reported(make_docs, texts):
     docs = make_docs(texts)
     out = m.mix(docs)
