@@ -44,6 +44,8 @@ class Settings:
 
 #: Buckets in which the rows of one id are ranked.
 BUCKETS = 64
+#: No text has more lines: it would have more bytes than a value can.
+MOST_LINES = 1 << 31
 
 
 @dataclass(frozen=True)
@@ -85,9 +87,12 @@ def numbered(documents: DataFrame) -> tuple[DataFrame, Places]:
     """
     ids = documents.select(F.col("doc_id").cast("long").alias("id"))
     shared = settle(ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "line-shared-ids")
-    seen = documents.agg(F.min(F.col("doc_id").cast("long")).alias("low"), F.max(F.col("doc_id").cast("long")).alias("high"), F.max(F.octet_length("text")).alias("octets")).first()
-    most = shared.agg(F.max("n").alias("n")).first()["n"] or 1
-    at = Places(seen["low"] or 0, (seen["high"] or 0) + 1, most, (seen["octets"] or 0) + 2)
+    seen = ids.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    low, top, most = seen["low"] or 0, (seen["high"] or 0) + 1, shared.agg(F.max("n").alias("n")).first()["n"] or 1
+    lines = MOST_LINES
+    if (top - low + 1) * most * lines >= 1 << 62:  # only then are the texts read for it
+        lines = (documents.agg(F.max(F.octet_length("text")).alias("n")).first()["n"] or 0) + 2
+    at = Places(low, top, most, lines)
     rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
     rows = rows.withColumn("_id", at.number(F.col("_row.doc_id").cast("long")))
     doc = lambda rank: at.document(F.col("_id"), rank).alias("_doc")
