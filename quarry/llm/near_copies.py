@@ -1,11 +1,19 @@
 """Near copies by the similarity of their shingles: the pipeline's near-duplicate stage.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; one document of each
-component of links stays. Links are found exactly. Of two sets of such a similarity the first ``n // 5 + k`` shingles of each
-(n: the set's size), in any order that all sets follow, share at least k; here k is ``1 + n // 20`` of the smaller set.
-Shingles that a sample shows to be frequent come last in that order, so that keys meet seldom; the sample decides on nothing
-else. Pairs that share enough are then held against an upper bound of their overlap, the sum over buckets of the lesser count
-of shingles, and what passes against the whole sets.
+component of links stays. Links are found exactly, in two steps.
+
+SimHash comes first: each set has a 64-bit fingerprint (all its shingles weigh alike, as they do in the similarity), and the
+Golay keys of ``simhash`` meet for every two of up to 4 differing bits. Those pairs are decided there, by their sets.
+
+A similarity of 0.8 is some ten differing bits, and no number of bits is certain to hold for it. The second step finds the
+links of more than 4 bits between texts that the first has left apart, and no others. Of two sets of such a similarity the
+first ``n // 5 + k`` shingles of each (n: the set's size), in any order that all sets follow, share at least k; here k is
+``1 + n // 20`` of the smaller set. Shingles that a sample shows to be frequent come last in that order, so that keys meet
+seldom; the sample decides on nothing else.
+
+Pairs of either step are held against an upper bound of their overlap, the sum over buckets of the lesser count of shingles,
+and what passes against the whole sets.
 
 Only the keys are written out, and of the sets those that take part in a pair. No key's members are all paired: they are
 first held against the key's least member; after contraction, only members of different components are. Pairs of fitting
@@ -26,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.common import forget, maybe_in, settle
 from quarry.llm.components import components
-from quarry.llm.simhash import keep_rows
+from quarry.llm.simhash import BOTH, HELD, PROBE, REACH, apart, keep_rows, majority, meeting_keys, same_kind
 
 SHINGLE = 5
 SAMPLE = 16
@@ -116,16 +124,18 @@ def _prefixes(frequent: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pa
             sizes = pa.array([len(s) for s in sets], pa.int32())
             keys = _lists([prefix(s, frequent, counts) for s in sets])
             sketches = pa.array([sketch(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, sizes, keys, sketches], names=["doc_id", "text_hash", "same", "n", "prefix", "sketch"])
+            prints = pa.array(np.fromiter((majority(s.astype(">i8")) for s in sets), np.uint64, len(sets)).view(np.int64))
+            columns = [batch.column(0), batch.column(1), same, sizes, prints, keys, sketches]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "same", "n", "print", "prefix", "sketch"])
 
     return run
 
 
 def prefixes(documents: DataFrame) -> DataFrame:
-    """``doc_id, text_hash`` (to find the row again), ``same`` (equal for equal sets), the set's size ``n``, its ``prefix``
-    and its ``sketch``."""
+    """``doc_id, text_hash`` (to find the row again), ``same`` (equal for equal sets), the set's size ``n``, its
+    fingerprint ``print``, its ``prefix`` and its ``sketch``."""
     run = _prefixes(*_frequent(documents))
-    return _hashed(documents).mapInArrow(run, "doc_id long, text_hash long, same long, n int, prefix array<long>, sketch binary")
+    return _hashed(documents).mapInArrow(run, "doc_id long, text_hash long, same long, n int, print long, prefix array<long>, sketch binary")
 
 
 def _fit(a: Column, b: Column) -> Column:
@@ -143,16 +153,19 @@ def _row_key(doc_id: str = "doc_id", text_hash: str = "text_hash") -> Column:
     return F.xxhash64(doc_id, text_hash)
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The ``pairs`` (u, v) of a similarity of 0.8 or more. The sets are taken from one document each."""
+def _verified(pairs: DataFrame, documents: DataFrame, keyed: DataFrame, far: bool = False) -> DataFrame:
+    """The ``pairs`` (u, v) of a similarity of 0.8 or more; with ``far`` only those of more than ``REACH`` differing bits. The
+    sets are taken from one document each."""
     asked = settle(pairs, "copy-asked", release=True)
     ends = lambda df: df.select(F.col("u").alias("same")).union(df.select(F.col("v").alias("same"))).distinct()
     # Rows of equal sets are combined before any of them is shuffled.
     some = maybe_in(keyed, F.col("same"), ends(asked)).where("_maybe")
-    known = some.groupBy("same").agg(F.min(_row_key()).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    known = some.groupBy("same").agg(F.min(_row_key()).alias("row"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("sketch").alias("sketch"))
     known = settle(known.join(ends(asked), "same", "left_semi"), "copy-sketches")
-    of = lambda end: known.select(F.col("same").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
-    bounded = asked.join(of("u"), "u").join(of("v"), "v").select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v").mapInArrow(_possible, "u long, v long")
+    of = lambda end: known.select(F.col("same").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "print", "sketch")))
+    met = asked.join(of("u"), "u").join(of("v"), "v")
+    met = met.where(apart(F.col("print_u"), F.col("print_v")) > REACH) if far else met
+    bounded = met.select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v").mapInArrow(_possible, "u long, v long")
     pairs = settle(bounded, "copy-pairs", release=True)
     rows = known.select("same", "row").join(ends(pairs), "same", "left_semi")
     some = maybe_in(_hashed(documents), _row_key(), rows.select("row")).where("_maybe").drop("_maybe")
@@ -167,8 +180,44 @@ def _verified(pairs: DataFrame, documents: DataFrame, keyed: DataFrame) -> DataF
     return found
 
 
+def close_links(documents: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``node, root``: components of the sets' links of up to ``REACH`` differing bits, all of which meet in Golay keys."""
+    sets = settle(keyed.groupBy("same").agg(F.first("n").alias("n"), F.first("print").alias("print")), "copy-prints")
+    classes = sets.groupBy("print").agg(F.min_by(F.struct("same", "n"), "same").alias("least"), F.count("*").alias("c"))
+    classes = settle(classes.select("print", F.col("least.same").alias("v"), F.col("least.n").alias("n_v"), "c"), "copy-classes")
+    shared = meeting_keys(classes.select("print"))
+    # Every set is held against the least set of its own fingerprint and of those that are the least of a key.
+    met = shared.where((F.col("print") != F.col("least")) & (apart(F.col("print"), F.col("least")) <= REACH)).select("print", "least").distinct()
+    met = met.union(classes.where("c > 1").select("print", F.col("print").alias("least")))
+    held = sets.select(F.col("same").alias("u"), "n", "print").join(met, "print").join(classes.select(F.col("print").alias("least"), "v", "n_v"), "least")
+    near = components(_verified(held.where((F.col("u") != F.col("v")) & _fit(F.col("n"), F.col("n_v"))).select("u", "v"), documents, keyed))
+    # Then the members of keys that still hold several components. Sets of one fingerprint meet in it as they do in a key.
+    rooted = settle(sets.join(near, F.col("same") == F.col("node"), "left").select("print", "same", "n", F.coalesce("root", "same").alias("root")), "copy-rooted")
+    own = classes.where("c > 1").select(F.col("print").alias("key"), "print", F.lit(BOTH).alias("role"))
+    tagged = settle(shared.select("key", "print", "role").union(own).join(rooted, "print"), "copy-tagged", release=True)
+    mixed = tagged.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    rest = settle(tagged.join(mixed, "key"), "copy-mixed", release=True)
+    forget(shared, tagged)
+    one = rest.where(F.col("role") != HELD).select("key", F.col("same").alias("u"), F.col("print").alias("p1"), F.col("role").alias("a1"), F.col("n").alias("n1"), F.col("root").alias("r1"))
+    two = rest.where(F.col("role") != PROBE).select("key", F.col("same").alias("v"), F.col("print").alias("p2"), F.col("role").alias("a2"), F.col("n").alias("n2"), F.col("root").alias("r2"))
+    fits = same_kind("a1", "a2") & (F.col("r1") != F.col("r2")) & (apart(F.col("p1"), F.col("p2")) <= REACH) & _fit(F.col("n1"), F.col("n2"))
+    across = one.join(two, "key").where(fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    edges = _verified(across, documents, keyed).union(near.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    found = components(edges)
+    forget(sets, classes, rooted, rest)
+    return found
+
+
+def _left_apart(pairs: DataFrame, close: DataFrame) -> DataFrame:
+    """The ``pairs`` (u, v) that are not in one component of ``close``."""
+    of = lambda end: close.select(F.col("node").alias(f"at_{end}"), F.col("root").alias(f"root_{end}"))
+    rooted = pairs.join(of("u"), F.col("u") == F.col("at_u"), "left").join(of("v"), F.col("v") == F.col("at_v"), "left")
+    return rooted.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+
 def links(documents: DataFrame, keyed: DataFrame) -> DataFrame:
     """``node, root``: components of the different sets (by ``same``) that have a link; ``keyed``: settled ``prefixes``."""
+    close = close_links(documents, keyed)
     keys = keyed.select("same", "n", F.explode("prefix").alias("key"))
     met = settle(keys.groupBy("key").agg(F.min("same").alias("least"), F.max("same").alias("most")).where("least < most").select("key", "least"), "copy-met", release=True)
     some = maybe_in(keys, F.col("key"), met.select("key")).where("_maybe").groupBy("key", "same").agg(F.min("n").alias("n"))
@@ -177,7 +226,8 @@ def links(documents: DataFrame, keyed: DataFrame) -> DataFrame:
     first = shared.where("same <> least").join(least, "key").where(_fit(F.col("n"), F.col("n0")))
     first = _enough(first.select(F.col("same").alias("u"), F.col("least").alias("v"), F.least("n", "n0").alias("n")))
     # A pair that doesn't share enough of the keys of which its second is the least waits for the next step.
-    near = components(_verified(first, documents, keyed))
+    known = close.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    near = components(_verified(_left_apart(first, close), documents, keyed, far=True).union(known))
     tagged = shared.drop("least").join(near, F.col("same") == F.col("node"), "left").select("key", "same", "n", F.coalesce("root", "same").alias("root"))
     mixed = tagged.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     rest = settle(tagged.join(mixed, "key"), "copy-rest", release=True)
@@ -185,7 +235,7 @@ def links(documents: DataFrame, keyed: DataFrame) -> DataFrame:
     two = rest.select("key", F.col("same").alias("v"), F.col("n").alias("n2"), F.col("root").alias("r2"))
     across = one.join(two, "key").where((F.col("u") < F.col("v")) & (F.col("r1") != F.col("r2")) & _fit(F.col("n1"), F.col("n2")))
     across = _enough(across.select("u", "v", F.least("n1", "n2").alias("n")))
-    edges = _verified(across, documents, keyed).union(near.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    edges = _verified(across, documents, keyed, far=True).union(near.select(F.col("node").alias("u"), F.col("root").alias("v")))
     found = components(edges)
     forget(met, shared, rest)
     return found

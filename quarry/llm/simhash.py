@@ -32,6 +32,8 @@ from quarry.llm.components import components
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (first bit, bits)
 GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 BOTH, PROBE, HELD = 0, 1, 2
+#: Differing bits up to which two fingerprints meet in a key for certain.
+REACH = 4
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
@@ -46,7 +48,11 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = [0, *ends[:-shingle].tolist()]
     stops = (ends[shingle - 1 :] - 1).tolist()
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype=">u8")
+    return majority(np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype=">u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the big-endian ``hashes``; zero without any."""
     bits = np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64)
     whole = len(bits) // 255 * 255
     sums = np.add.reduce(bits[whole:], axis=0, dtype=np.uint8).astype(np.int64)
@@ -161,28 +167,36 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[places]), pa.array(roles)], names=["key", "print", "role"])
 
 
-def _apart(a: Column, b: Column) -> Column:
+def apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """``node, root``: components of the distinct fingerprints ``print`` that have a link; a root is a fingerprint."""
-    if not 0 <= distance <= 4:
-        raise ValueError("the keys find links of up to 4 differing bits")
+def same_kind(a: str, b: str) -> Column:
+    return (F.col(a) == BOTH) == (F.col(b) == BOTH)
+
+
+def meeting_keys(prints: DataFrame) -> DataFrame:
+    """``key, print, role, least`` of the keys that can hold a link of the distinct fingerprints ``print``."""
     keys = prints.select("print").mapInArrow(_keys, "key long, print long, role int")
     every = Window.partitionBy("key")
     shared = keys.withColumns({"n": F.count("*").over(every), "least": F.min(F.when(F.col("role") != PROBE, F.col("print"))).over(every)})
     # A key that only probes, or only one fingerprint, holds links nothing.
-    shared = settle(shared.where("n > 1 and least is not null").drop("n"), "golay-keys")
-    first = shared.where((F.col("print") != F.col("least")) & (_apart(F.col("print"), F.col("least")) <= distance)).select(F.col("print").alias("u"), F.col("least").alias("v")).distinct()
+    return settle(shared.where("n > 1 and least is not null").drop("n"), "golay-keys")
+
+
+def links(prints: DataFrame, distance: int = 4) -> DataFrame:
+    """``node, root``: components of the distinct fingerprints ``print`` that have a link; a root is a fingerprint."""
+    if not 0 <= distance <= REACH:
+        raise ValueError("the keys find links of up to 4 differing bits")
+    shared = meeting_keys(prints)
+    first = shared.where((F.col("print") != F.col("least")) & (apart(F.col("print"), F.col("least")) <= distance)).select(F.col("print").alias("u"), F.col("least").alias("v")).distinct()
     near = components(first)
     tagged = shared.drop("least").join(near, F.col("print") == F.col("node"), "left").select("key", "print", "role", F.coalesce("root", "print").alias("root"))
     mixed = tagged.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     rest = settle(tagged.join(mixed, "key"), "golay-rest")
     one = rest.where(F.col("role") != HELD).select("key", F.col("print").alias("p"), F.col("root").alias("u"), F.col("role").alias("ra"))
     two = rest.where(F.col("role") != PROBE).select("key", F.col("print").alias("q"), F.col("root").alias("v"), F.col("role").alias("rb"))
-    same_kind = (F.col("ra") == BOTH) == (F.col("rb") == BOTH)
-    across = one.join(two, "key").where(same_kind & (F.col("u") != F.col("v")) & (_apart(F.col("p"), F.col("q")) <= distance)).select("u", "v").distinct()
+    across = one.join(two, "key").where(same_kind("ra", "rb") & (F.col("u") != F.col("v")) & (apart(F.col("p"), F.col("q")) <= distance)).select("u", "v").distinct()
     over = components(across)
     merged = near.join(over.select(F.col("node").alias("at"), F.col("root").alias("over")), F.col("root") == F.col("at"), "left").select("node", F.coalesce("over", "root").alias("root"))
     # Roots of the second step that had no link in the first are nodes of their own.
