@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from quarry.plans import local
 from quarry.plans.tables import settle
 
+#: Edges of a weak component up to which one task takes it whole; larger ones go through rounds of joins.
+ONE_TASK = 1_000_000
+
 
 def fixpoint(base: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int = 1000) -> DataFrame:
     """The least set that holds ``base`` and, with its newest rows, what ``step(newest, all)`` derives.
@@ -62,26 +66,81 @@ def least_label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node, rep``: the least node of each one's strong component, by colouring.
+def weak_components(edges: DataFrame, most: int = ONE_TASK) -> DataFrame:
+    """``node, comp``: of every end of an edge, the least node that it is linked with, whatever the edges' direction.
 
-    Forward least labels colour the graph; the nodes of a colour that reach its origin back are the origin's component.
-    They are taken out, and the rest is coloured anew. Nodes without edges on one side go first, again and again while
-    there are many of them: they are alone.
+    A task links the edges of a range of nodes; rounds over joins are left for the links between what tasks have found.
     """
-    left, es = settle(nodes.select("node").distinct(), "scc-nodes"), settle(edges.select("src", "dest").where("src <> dest").distinct(), "scc-edges")
-    done: list[DataFrame] = []
-    while not left.isEmpty():
-        inner, many = left, left.count()
-        while True:
-            within = inner.join(es.select(F.col("src").alias("node")).distinct(), "node", "left_semi").join(es.select(F.col("dest").alias("node")).distinct(), "node", "left_semi")
-            inner = settle(within, "scc-inner")
-            es, before, many = settle(_within(es, inner), "scc-edges"), many, inner.count()
-            if not many or many > 0.9 * before:
-                break
-        done.append(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("rep")))
-        if not many:
+    es = settle(edges.select("src", "dest").where("src <> dest").distinct(), "weak")
+    kind, n = dict(es.dtypes)["src"], es.count()
+    ranges = es.repartition(1) if n <= most // 4 else es.repartitionByRange(1 + n // (most // 4 + 1), "src")
+    found = settle(local.by_group(ranges.select(F.lit(0).alias("comp"), "src", "dest"), local.weak, f"node {kind}, root {kind}"), "weak-found")
+    if n <= most // 4:
+        return found.withColumnRenamed("root", "comp")
+    least = settle(found.groupBy("node").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots")), "weak-least")
+    links = settle(least.where(F.size("roots") > 1).select(F.col("root").alias("dest"), F.explode("roots").alias("src")).where("src <> dest").distinct(), "weak-links")
+    both = settle(links.select("src", "dest").union(links.select("dest", "src")), "weak-links")
+    labels = least_label(ends(links), both).withColumnRenamed("node", "root")
+    return least.join(labels, "root", "left").select("node", F.coalesce("label", "root").alias("comp"))
+
+
+def by_component(edges: DataFrame, comps: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """``comp, src, dest`` of the edges, and those of them in weak components of more than ``most`` edges, if there are any."""
+    met = settle(edges.join(comps.select(F.col("node").alias("src"), "comp"), "src").select("comp", "src", "dest"), "by-comp")
+    large = settle(met.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") > most).select("comp"), "large")
+    return met, None if large.isEmpty() else settle(met.join(large, "comp", "left_semi"), "large")
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, most: int = ONE_TASK) -> DataFrame:
+    """``node, rep``: the least node of each one's strong component.
+
+    Nodes without edges on one side go first, again and again while there are many of them: they are alone. What is left
+    falls into weak components: those of at most ``most`` edges are taken whole, each in one task, the larger ones are
+    coloured.
+    """
+    es = _inner(settle(edges.select("src", "dest").where("src <> dest").distinct(), "scc-edges"))
+    found = _found(es, dict(nodes.dtypes)["node"], most)
+    return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("rep", "node").alias("rep"))
+
+
+def _found(es: DataFrame, kind: str, most: int) -> DataFrame:
+    schema, n = f"node {kind}, rep {kind}", es.count()
+    if n <= most:  # also without edges: one short task
+        one = es.select(F.lit(0).alias("comp"), "src", "dest").repartition(1)
+        return settle(local.by_group(one, local.strong, schema), "scc-found")
+    met, large = by_component(es, settle(weak_components(es), "scc-comps"), most)
+    small = met if large is None else met.join(large.select("comp").distinct(), "comp", "left_anti")
+    found = settle(local.by_group(tasks(small, n, most), local.strong, schema), "scc-found")
+    return found if large is None else found.union(_coloured(large.select("src", "dest")))
+
+
+def ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).union(edges.select("dest")).distinct()
+
+
+def tasks(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """The ``n`` rows by ``comp``, in tasks of about ``most`` / 4, and sorted there."""
+    return rows.repartition(1 + n // (most // 4 + 1), "comp").sortWithinPartitions("comp")
+
+
+def _inner(es: DataFrame) -> DataFrame:
+    """The edges that are left when nodes without edges on one side are taken out while there are many."""
+    many = es.count()
+    while many:
+        within = settle(es.select(F.col("src").alias("node")).intersect(es.select(F.col("dest").alias("node"))), "scc-inner")
+        es, before = settle(_within(es, within), "scc-edges"), many
+        many = es.count()
+        if many > 0.9 * before:
             break
+    return es
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """``node, rep`` of nodes in cycles, by colouring: forward least labels colour the graph; the nodes of a colour that reach
+    its origin back are the origin's component. They are taken out, and the rest is coloured anew."""
+    es, done = _inner(edges), []
+    while not es.isEmpty():
+        inner = settle(ends(es), "scc-nodes")
         labels = least_label(inner, es)
         same = es.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dest"), F.col("label").alias("b")), "dest").where("a = b")
         back = same.select(F.col("dest").alias("src"), F.col("src").alias("dest"))
@@ -89,8 +148,8 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         found = settle(reachable(origins, settle(back, "scc-back")).join(labels, "node").select("node", F.col("label").alias("rep")), "scc-found")
         done.append(found)
         left = settle(inner.join(found, "node", "left_anti"), "scc-nodes")
-        es = settle(_within(es, left), "scc-edges")
-    return _union(done) if done else left.select("node", F.col("node").alias("rep"))
+        es = _inner(settle(_within(es, left), "scc-edges"))
+    return _union(done) if done else ends(edges).limit(0).select("node", F.col("node").alias("rep"))
 
 
 def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
