@@ -60,13 +60,18 @@ def violations(stacks: DataFrame, invalid: DataFrame) -> DataFrame:
     return stacks.join(invalid.distinct(), "stack", "left_semi")
 
 
-def set_violations(accesses: DataFrame, live: DataFrame, allowed: DataFrame) -> DataFrame:
-    """``ptr, addr`` of accesses (``ptr, addr, seq``) whose object isn't in the pointer's set (``ptr, objs``).
+def set_violations(accesses: DataFrame, live: DataFrame, allowed: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """``ptr, addr`` of accesses (``ptr, addr, seq``) whose object isn't in the pointer's set.
 
-    The object is that of the live range (``obj, start, stop, born, died``) that holds the address; null addresses pass.
+    ``allowed``: ``ptr, objs``; or, where pointers share sets, ``ptr, set_id`` with the sets' ``members`` (``set_id, obj``),
+    so that a set is written once. The object is that of the live range (``obj, start, stop, born, died``) that holds the
+    address; null addresses pass.
     """
     at = (F.col("addr") >= F.col("start")) & (F.col("addr") < F.col("stop")) & (F.col("seq") >= F.col("born")) & (F.col("seq") < F.col("died"))
     page = accesses.where("addr <> 0").withColumn("page", F.expr("addr div 4096"))
     pages = live.withColumn("page", F.explode(F.sequence(F.expr("start div 4096"), F.expr("(stop - 1) div 4096"))))
-    met = page.join(pages, "page").where(at).join(allowed, "ptr", "left")
-    return met.where(~F.coalesce(F.array_contains("objs", F.col("obj")), F.lit(False))).select("ptr", "addr").distinct()
+    met = page.join(pages, "page").where(at).select("ptr", "addr", "obj")
+    if members is None:
+        return met.join(allowed.select("ptr", F.explode("objs").alias("obj")), ["ptr", "obj"], "left_anti").select("ptr", "addr").distinct()
+    own = met.join(allowed.select("ptr", "set_id"), "ptr", "left")
+    return own.join(members.select("set_id", "obj"), ["set_id", "obj"], "left_anti").select("ptr", "addr").distinct()

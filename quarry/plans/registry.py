@@ -818,5 +818,6 @@ def stack_checks(rel):
 def set_violations(rel):
     live = settle(traces.live_ranges(rel(ALLOC_EVENTS)))
     asked = rel(ACCESSES).select(F.col("id").alias("ptr"), "addr", "seq")
-    allowed = asked.select("ptr").distinct().where("ptr % 5 <> 0").join(live.select((F.col("obj") % 4).alias("m"), "obj"), F.col("ptr") % 4 == F.col("m")).groupBy("ptr").agg(F.collect_list("obj").alias("objs"))
-    return assumptions.set_violations(asked, live, allowed)
+    allowed = asked.select("ptr").distinct().where("ptr % 5 <> 0").select("ptr", (F.col("ptr") % 4).alias("set_id"))
+    members = live.select((F.col("obj") % 4).alias("set_id"), "obj").distinct()
+    return assumptions.set_violations(asked, live, allowed, members)
