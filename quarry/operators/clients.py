@@ -27,10 +27,27 @@ def first_answer(*answers: DataFrame) -> DataFrame:
     return out.select("p", "q", F.coalesce(*(f"a{k}" for k in range(len(answers))), F.lit("may")).alias("answer"))
 
 
-def may_alias_pairs(facts: DataFrame) -> DataFrame:
-    """Distinct pairs p < q that share an object. Its size is the answer's; for counts use the census."""
-    f = facts.select("node", "obj").distinct()
-    return f.select(F.col("node").alias("p"), "obj").join(f.select(F.col("node").alias("q"), "obj"), "obj").where("p < q").select("p", "q").distinct()
+#: Objects of a node up to which its rows carry the lesser ones along.
+MOST_CARRIED = 64
+
+
+def may_alias_pairs(facts: DataFrame, most: int = MOST_CARRIED) -> DataFrame:
+    """Distinct pairs p < q that share an object. Its size is the answer's; for counts use the census.
+
+    A pair is made once, at the least object that both hold: each row of a node of at most ``most`` objects carries the
+    lesser ones. Only pairs with a node of more objects are shuffled to be made distinct.
+    """
+    sets = facts.groupBy("node").agg(F.collect_set("obj").alias("objs"))
+    small = F.size("objs") <= most
+    each = settle(sets.select("node", F.when(small, F.col("objs")).alias("objs"), F.explode("objs").alias("obj")), "alias-rows")
+    each = each.select("node", "obj", F.filter("objs", lambda x: x < F.col("obj")).alias("less"))  # null: too many
+    p, q = each.select(F.col("node").alias("p"), "obj", F.col("less").alias("a")), each.select(F.col("node").alias("q"), "obj", F.col("less").alias("b"))
+    met = p.join(q, "obj").where("p < q")
+    once = met.where(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.arrays_overlap("a", "b")).select("p", "q")
+    large = each.where("less is null")
+    big = large.select(F.col("node").alias("n"), "obj")
+    rest = each.join(big, "obj").where("node <> n").select(F.least("node", "n").alias("p"), F.greatest("node", "n").alias("q")).distinct()
+    return once if large.isEmpty() else once.union(rest)
 
 
 def object_signatures(facts: DataFrame) -> DataFrame:
